@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import encoding, leakage
+from siltworks.llm import encoding, leakage, ordermin, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,26 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that the sources of chunk_results repeat excessively."""
+    return templates.repeated_places(_t(spark, d, "chunk_results"), _t(spark, d, "uploaded_files"))
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's text without the lines its source repeats."""
+    return templates.without_repeated(_t(spark, d, "chunk_results"), _t(spark, d, "uploaded_files")).select("chunk_key", "clean_text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunk_results rows whose words are alike beyond the limit."""
+    return ordermin.all_pairs(*ordermin.near_pairs(_t(spark, d, "chunk_results"), "chunk_key", "text"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of chunk_results with near-duplicates, their group and their number of links."""
+    return ordermin.groups(_t(spark, d, "chunk_results"), "chunk_key", "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
@@ -28,7 +48,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
