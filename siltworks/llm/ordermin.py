@@ -6,9 +6,9 @@ Order MinHash. A text's words are read as occurrence-labelled k-mers; each of ``
 limit of problem 2 sets word order aside, and the order serves to lay the band of the alignment.
 
 Candidates are sifted by an odd sketch: every word flips one of 256 bits, so the bits that differ never outnumber the
-words that differ. The bound is exact: no pair over the limit is lost to it. What is left is verified by a banded
-alignment (shared words on the band already decide most pairs) and, where that does not suffice, by the exact bag of
-words.
+words that differ. The bound is exact: no pair over the limit is lost to it; nor is any to the histogram bound that
+follows on the words themselves. What is left is verified by a banded alignment (shared words on the band already decide
+most pairs) and, where that does not suffice, by the exact bag of words.
 
 Texts with the same bag of words are one class; only the class's first row enters the candidate search, so a group of
 copies costs one row there however large it is.
@@ -141,6 +141,13 @@ def shared_words(ha: np.ndarray, oa: np.ndarray, hb: np.ndarray, ob: np.ndarray)
     return out
 
 
+def least_apart(ha: np.ndarray, oa: np.ndarray, hb: np.ndarray, ob: np.ndarray, bins: int = 512) -> np.ndarray:
+    """For each pair of texts a lower bound of the words that differ: the distance of their hashed word histograms."""
+    n = len(oa) - 1
+    spot = [np.repeat(np.arange(n) * bins, np.diff(o)) + (W.mix(h) & np.uint64(bins - 1)).astype(np.int64) for h, o in ((ha, oa), (hb, ob))]
+    return np.abs(np.bincount(spot[0], minlength=n * bins) - np.bincount(spot[1], minlength=n * bins)).reshape(n, bins).sum(axis=1)
+
+
 def aligned_words(ha: np.ndarray, oa: np.ndarray, hb: np.ndarray, ob: np.ndarray, band: int = BAND) -> np.ndarray:
     """For each pair the words matched by the best alignment within a band around the line through their shared k-mers."""
     n = len(oa) - 1
@@ -184,6 +191,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ha, oa = W.ragged(b.column(2))
                 hb, ob = W.ragged(b.column(3))
                 n = np.diff(oa) + np.diff(ob)
+                b = b.take(pa.array(np.flatnonzero((NUM + DEN) * least_apart(ha, oa, hb, ob) <= (NUM - DEN) * n)))
+                ha, oa = W.ragged(b.column(2))
+                hb, ob = W.ragged(b.column(3))
+                n = np.diff(oa) + np.diff(ob)
                 shared = aligned_words(ha, oa, hb, ob)
                 rest = np.flatnonzero(NUM * shared < DEN * (n - shared))
                 if len(rest):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import encoding, leakage, ordermin, templates
+from siltworks.llm import encoding, history, leakage, ordermin, templates
+from siltworks.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,16 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return ordermin.groups(_t(spark, d, "chunk_results"), "chunk_key", "text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of incoming_chunks that the history or an earlier accepted row holds already."""
+    old = _t(spark, d, "chunk_results").select(F.col("chunk_key").alias("id"), "text")
+    h = history.History(spark)
+    h.append(stored(history.chunked(old, "id", "text"), "history-chunks"), old, 0)
+    out = history.refused(h, _t(spark, d, "incoming_chunks"), "incoming_id", "batch_no")
+    h.drop()
+    return out.select(F.col("id").alias("incoming_id"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
@@ -48,7 +59,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
