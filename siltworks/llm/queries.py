@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import encoding, history, leakage, ordermin, templates
+from siltworks.llm import encoding, history, leakage, mainbody, ordermin, templates
 from siltworks.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,16 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return ordermin.groups(_t(spark, d, "chunk_results"), "chunk_key", "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of page_chunks that belong to the page's own article."""
+    return mainbody.body_places(_t(spark, d, "page_chunks"), _t(spark, d, "uploaded_files"))
+
+
+def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's own article."""
+    return mainbody.bodies(_t(spark, d, "page_chunks"), _t(spark, d, "uploaded_files")).select("page_id", "body")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of incoming_chunks that the history or an earlier accepted row holds already."""
     old = _t(spark, d, "chunk_results").select(F.col("chunk_key").alias("id"), "text")
@@ -59,7 +69,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
