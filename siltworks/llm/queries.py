@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import encoding, history, leakage, mainbody, ordermin, templates
+from siltworks.llm import encoding, history, leakage, mainbody, ordermin, scans, templates
 from siltworks.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("incoming_id"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Page furniture, broken words and misread words of scan_chunks."""
+    return scans.Scans(_t(spark, d, "scan_chunks")).found()
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of each scanned file."""
+    return scans.Scans(_t(spark, d, "scan_chunks")).paragraphs()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
@@ -69,7 +79,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
