@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import encoding, history, leakage, mainbody, ordermin, scans, templates
+from siltworks.llm import encoding, history, leakage, mainbody, ordermin, packing, scans, templates
 from siltworks.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,17 @@ def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.Scans(_t(spark, d, "scan_chunks")).paragraphs()
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """A container of each capacity for each document."""
+    return packing.containers(_t(spark, d, "documents"), _t(spark, d, "container_sizes"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    caps = _t(spark, d, "container_sizes")
+    return packing.fill(packing.containers(_t(spark, d, "documents"), caps), caps)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
@@ -79,7 +90,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
