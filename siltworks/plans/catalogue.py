@@ -241,7 +241,7 @@ _EXT = "lower(regexp_extract(filename, '(\\.[A-Za-z0-9]+)$', 1))"
 _ROUTE = "CASE WHEN x IN ('.csv','.tsv','.xlsx','.xls','.xlsm') THEN 'rows' WHEN x IN ('.png','.jpg','.jpeg','.tif','.tiff','.bmp') THEN 'ocr' WHEN x = '.zip' THEN 'archive' WHEN x IN ('.pdf','.docx','.html','.htm','.xml','.json') THEN substr(x, 2) ELSE 'text' END"
 
 
-@query(f"SELECT listing_id, x AS suffix, {_ROUTE} AS route, coalesce(regexp_matches(filename, '(^|/)(__MACOSX|\\.)'), false) AS junk FROM (SELECT listing_id, filename, coalesce({_EXT}, '') AS x FROM uploaded_files)")
+@query(f"SELECT listing_id, x AS suffix, {_ROUTE} AS route, coalesce(regexp_matches(filename, '(^|/)(__MACOSX|\\.[^./])'), false) AS junk FROM (SELECT listing_id, filename, coalesce({_EXT}, '') AS x FROM uploaded_files)")
 def file_route(spark: SparkSession, d: str) -> DataFrame:
     from siltworks.sources.files import junk, route, suffix
 

@@ -35,7 +35,7 @@ def route(name: Column) -> Column:
 
 def junk(name: Column) -> Column:
     """Whether an archive member is a hidden file or made by a system."""
-    return F.coalesce(name.rlike(r"(^|/)(__MACOSX|\.)"), F.lit(False))
+    return F.coalesce(name.rlike(r"(^|/)(__MACOSX|\.[^./])"), F.lit(False))
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
