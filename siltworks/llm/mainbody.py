@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from siltworks.llm import words as W
 from siltworks.session import small, stored
 
-#: Share of a site's pages, share averaged over sites, pages that a site needs for either; window in lines.
-SITE_SHARE, MEAN_SHARE, SITE_PAGES, WINDOW = 0.25, 0.12, 4, 5
+#: Share of a site's pages; share of the pages of all sites that have a line; pages that a site needs; window in lines.
+SITE_SHARE, WIDE_SHARE, SITE_PAGES, WINDOW = 0.25, 0.12, 4, 5
+#: Mean log odds of its words from which a sentence is a notice.
+NOTICE = 1.0
 
 LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 BULLET = re.compile(r"^\s*(?:[-*•·‣–+]|\d{1,3}[.)])\s+")
@@ -65,8 +67,9 @@ def _flagged(lines: DataFrame) -> DataFrame:
     share = stored(count.join(small(size, 80), "host").where("n >= %d" % SITE_PAGES).withColumn("share", F.col("k") / F.col("n")), "line-shares")
     often = (F.col("share") >= SITE_SHARE) & (F.col("k") >= 5) | (F.col("share") >= 2 * SITE_SHARE) & (F.col("k") >= 3)
     own = share.where(often).select("host", "tpl", F.lit(2).alias("own"))
-    # an entry of a few sites' menus may be a heading elsewhere: the line must be frequent on most sites that have it
-    wide = share.groupBy("tpl").agg(F.avg((F.col("share") >= MEAN_SHARE).cast("int")).alias("most"), F.count("*").alias("sites")).where((F.col("sites") >= 2) & (F.col("most") >= 0.6)).select("tpl", F.lit(1).alias("wide"))
+    # an entry of a few sites' menus may be a heading elsewhere: most sites that have the line must have it often
+    wide = share.where(F.col("n") >= 2 * SITE_PAGES).groupBy("tpl").agg(F.percentile_approx("share", 0.5).alias("middle"), (F.sum("k") / F.sum("n")).alias("pooled"), F.count("*").alias("sites"))
+    wide = wide.where((F.col("sites") >= 2) & (F.col("middle") >= WIDE_SHARE) & (F.col("pooled") >= WIDE_SHARE)).select("tpl", F.lit(1).alias("wide"))
     own, wide = stored(own, "site-furniture"), stored(wide, "wide-furniture")
     out = lines.join(small(own, 60), ["host", "tpl"], "left").join(small(wide, 24), "tpl", "left")
     rows = out.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", "line", "tpl", F.coalesce("own", F.when(F.col("named"), 2), "wide", F.lit(0)).alias("mark")))).alias("rows"))
@@ -88,7 +91,7 @@ class Line:
         self.text = BULLET.sub("", text).lstrip("#").strip()
         cells = [c for c in ROW.split(self.text) if c.strip()]
         digits = sum(any(ch.isdigit() for ch in c) and not re.search(r"\(\d+\)", c) for c in cells)
-        if PATH.search(self.text) and not STOP.search(self.text) and len(self.text) < 160:
+        if PATH.search(self.text) and not re.search(r"[.!?]$", self.text) and len(self.text) < 160:
             self.kind = "path"
         elif len(cells) >= 3 and not digits and len(self.text) / len(cells) < 40 and not STOP.search(self.text):
             self.kind = "links"
@@ -131,8 +134,11 @@ def form(text: str) -> list[str]:
 
 
 def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
-    """(what, key, yes, no) counts of a page: lines that announce teasers, forms of titles and of headings."""
+    """(what, key, yes, no) counts of a page: lines that announce teasers, forms of titles and headings, words of furniture and of articles."""
     for i, x in enumerate(ls):
+        if x.kind == "text" and (x.mark or sentences(x.text) > 1):
+            for w in set(re.findall(r"[^\W\d_]{2,}", x.text.lower())):
+                yield "w", w, int(bool(x.mark)), int(not x.mark)
         if x.mark and x.kind in ("short", "head", "text"):
             yes = announces(ls, i)
             yield "a", str(x.tpl), int(yes), int(not yes)
@@ -146,6 +152,12 @@ def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
                     yield "f", w, 0, 1
 
 
+def notice_odds(text: str, said: dict[str, tuple[int, int]], total: tuple[int, int]) -> float:
+    """Mean log odds of the words of a sentence to stand in furniture rather than in an article."""
+    w = set(re.findall(r"[^\W\d_]{2,}", text.lower())) & said.keys()
+    return sum(math.log((said[x][0] + 0.5) / (total[0] + 1)) - math.log((said[x][1] + 0.5) / (total[1] + 1)) for x in w) / max(5, len(w))
+
+
 def title_odds(text: str, forms: dict[str, tuple[int, int]], total: tuple[int, int]) -> float:
     """Log odds that a short line has the form of a page title rather than of a heading inside an article."""
     out = 0.0
@@ -155,7 +167,7 @@ def title_odds(text: str, forms: dict[str, tuple[int, int]], total: tuple[int, i
     return out
 
 
-def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, int]], total: tuple[int, int]) -> list[int]:
+def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, int]], total: tuple[int, int], said: dict[str, tuple[int, int]], spoken: tuple[int, int]) -> list[int]:
     """Places of the lines that belong to the page's own article."""
     solid = ("text", "item", "row")
     for i, x in enumerate(ls[1:-1], 1):
@@ -164,6 +176,10 @@ def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, in
             before, after = ls[i - 1], ls[i + 1]
             if before.kind in solid and not before.off and after.kind in solid and not after.off and title_odds(x.text, forms, total) < -1:
                 x.mark = 0
+    for x in ls:
+        # a notice that no other page has, told by its words
+        if not x.mark and x.kind == "text" and len(x.text) > 60 and notice_odds(x.text, said, spoken) > NOTICE:
+            x.mark = 1
     zero = [x.off or x.kind == "link" or (x.kind == "text" and x.text.endswith("…")) for x in ls]
     odds = [title_odds(x.text, forms, total) if x.titled else -9.0 for x in ls]
     # a title has the form of one; among teasers, any short line that heads nothing is one
@@ -180,8 +196,10 @@ def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, in
             while j < len(ls) and (is_title[j] or ls[j].kind == "link"):
                 last = j
                 j += 1
-                if j < len(ls) and ls[j].kind == "text" and not ls[j].off and (ls[j].text.endswith("…") or sentences(ls[j].text) <= 1):
+                if j < len(ls) and ls[j].kind == "text" and not ls[j].off and (ls[j].text.endswith("…") or sentences(ls[j].text) <= 2):
                     then = j + 1 < len(ls) and (is_title[j + 1] or ls[j + 1].kind == "link")
+                    if sentences(ls[j].text) == 2 and not ls[j].text.endswith("…") and not (then and (ls[j + 1].kind == "link" or odds[j + 1] > 0)):
+                        break
                     if ls[j].text.endswith("…") or then or (excerpts and begun) or (last is not None and ls[last].kind == "link"):
                         excerpts += 1
                         j += 1
@@ -238,16 +256,21 @@ def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_k
 
     counts = rows.select("rows").mapInPandas(observe, "what string, k string, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counts = stored(counts, "page-forms")
-    whole = counts.where("what = 'f'").agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0))).first()
-    total = (int(whole[0]), int(whole[1]))
-    # words below one in 20,000 decide nothing, so at most 20,000 are sent out; announcers are templates of many sites
-    forms = {r.k: (r.yes, r.no) for r in counts.where((F.col("what") == "f") & ((F.col("yes") + F.col("no")) * 20_000 >= sum(total))).collect()}
+    def table(what: str) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
+        # what is rarer than one in 20,000 decides nothing, so at most 20,000 are sent out
+        own = counts.where(F.col("what") == what)
+        whole = own.agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0))).first()
+        some = own.where((F.col("yes") + F.col("no")) * 20_000 >= whole[0] + whole[1])
+        return {r.k: (r.yes, r.no) for r in some.collect()}, (int(whole[0]), int(whole[1]))
+
+    forms, total = table("f")
+    said, spoken = table("w")
     lines = counts.where("what = 'a'").agg(F.coalesce(F.sum(F.col("yes") + F.col("no")), F.lit(0))).first()[0]
     announcers = {r.k for r in counts.where((F.col("what") == "a") & (F.col("yes") >= 3) & (F.col("yes") >= F.col("no")) & ((F.col("yes") + F.col("no")) * 20_000 >= lines)).collect()}
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, at + 1) for p, own in zip(b["page"], b["rows"], strict=True) for at in article([Line(r) for r in own], announcers, forms, total)]
+            out = [(p, at + 1) for p, own in zip(b["page"], b["rows"], strict=True) for at in article([Line(r) for r in own], announcers, forms, total, said, spoken)]
             yield pd.DataFrame(out, columns=["page", "line_no"]).astype({"line_no": "int32"})
 
     kind = pages.schema[key].dataType.simpleString()

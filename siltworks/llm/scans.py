@@ -39,7 +39,7 @@ BLOCK = 512
 _FOLD_PAIRS = (("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "5": "s", "@": "a", "9": "g", "8": "b", "h": "b", "c": "e", "f": "e", "t": "e", "|": "l"})
 ROMAN = re.compile(r"^(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
-NUMBER = re.compile(r"^(?=.*\d)[\dlo]{1,5}$")
+NUMBER = re.compile(r"^(?:(?=.*\d)[\dlo]{1,5}|l[lo]{1,2})$")
 STRIP = re.compile(r"^[^\w@]+|[^\w@]+$")
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -83,7 +83,8 @@ def _templates(rows: DataFrame) -> DataFrame:
                 for k, (_, x) in enumerate(own):
                     tpl = fold(x)
                     edge = k < EDGE or k >= len(own) - EDGE
-                    out.append((f, p, tpl if edge else None, ending(tpl), edge, edge and tpl not in seen, len(x) < 70))
+                    head = edge and x.rstrip()[-1] not in ".,;"  # no sentence
+                    out.append((f, p, tpl if edge else None, ending(tpl), edge, head and tpl not in seen, len(x) < 70))
                     if edge:
                         seen.add(tpl)
             yield pd.DataFrame(out, columns=["file", "page", "tpl", "tail", "edge", "first", "brief"])
