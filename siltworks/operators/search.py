@@ -64,8 +64,9 @@ def top_k_batch(points: DataFrame, queries: DataFrame, k: int = 5, threshold: fl
     Queries go out in blocks of ``block`` and meet every partition of points in one matrix product; each Arrow batch keeps
     its ``k`` best for a query, so what is shuffled is at most k rows a query and batch. ``queries``: (query_id, vector).
     """
-    packs = queries.where("vector is not null and query_id is not null").withColumn("_b", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / block))
-    packs = packs.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("_h"), "_b").agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
+    asked = queries.where("vector is not null and query_id is not null")
+    blocks = max(1, -(-asked.count() // block))
+    packs = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
 
     out = None
     for pack in packs.toLocalIterator():  # a block of queries at a time, never all
