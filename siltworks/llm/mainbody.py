@@ -193,11 +193,13 @@ def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, in
         if str(x.tpl) in announcers and x.kind in ("short", "head", "text") and i + 1 < len(ls) and (is_title[i + 1] or ls[i + 1].kind == "link"):
             zero[i] = True
             j, last, excerpts = i + 1, None, 0
-            while j < len(ls) and (is_title[j] or ls[j].kind == "link"):
+            style = ls[j].kind  # a title in another style is the article's own
+            teaser = lambda q: q < len(ls) and ls[q].kind == style and (is_title[q] or style == "link")  # noqa: B023, E731
+            while teaser(j):
                 last = j
                 j += 1
                 if j < len(ls) and ls[j].kind == "text" and not ls[j].off and (ls[j].text.endswith("…") or sentences(ls[j].text) <= 2):
-                    then = j + 1 < len(ls) and (is_title[j + 1] or ls[j + 1].kind == "link")
+                    then = teaser(j + 1)
                     if sentences(ls[j].text) == 2 and not ls[j].text.endswith("…") and not (then and (ls[j + 1].kind == "link" or odds[j + 1] > 0)):
                         break
                     if ls[j].text.endswith("…") or then or (excerpts and begun) or (last is not None and ls[last].kind == "link"):
@@ -206,7 +208,7 @@ def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, in
                     else:
                         break
             end = j
-            if not begun and last is not None and ls[last].kind != "link" and last > i + 1:
+            if not begun and last is not None and style != "link" and last > i + 1 and not (end < len(ls) and is_title[end]):
                 nxt = next((ls[q] for q in range(last + 1, len(ls)) if not ls[q].off), None)
                 if nxt is not None and not (nxt.kind == "text" and nxt.text.endswith("…")):
                     end, title_at, begun = last, last, True  # the last title of the first run is the article's own
