@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import ids, jsonops, markup, text, urls
-from siltworks.operators import chunking, conversation, listing, metrics, payload, rows, search, store
+from siltworks.operators import chunking, conversation, listing, metrics, pages, payload, rows, search, store
 from siltworks.session import small, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -633,6 +633,51 @@ def auto_sessions(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("user_id").distinct().select("user_id", conversation.session_id(none, [none], F.col("user_id").cast("string")).alias("session"))
 
 
+# ---- pages and guards ------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH g AS (SELECT chunk_key, file_id, CASE WHEN gap THEN (sum(gap::INT) OVER (PARTITION BY file_id ORDER BY chunk_key))::INT END AS n, text, gap FROM (SELECT *, coalesce(text = '[No extractable text]', false) AS gap FROM chunk_results WHERE file_id IS NOT NULL)),
+f AS (SELECT file_id, filename, row_number() OVER (PARTITION BY file_id ORDER BY listing_id) AS n FROM uploaded_files WHERE file_id IS NOT NULL)
+SELECT g.chunk_key, g.file_id, CASE WHEN gap THEN f.filename ELSE g.text END AS text FROM g LEFT JOIN f ON f.file_id = g.file_id AND f.n = g.n WHERE NOT gap OR f.filename IS NOT NULL
+""")
+def placeholder_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks without text take, in order, the names under which their file is listed."""
+    c = t(spark, d, "chunk_results").where("file_id is not null").select("chunk_key", "file_id", "text")
+    f = t(spark, d, "uploaded_files").where("file_id is not null").select("file_id", "filename", "listing_id")
+    return pages.filled(c, "file_id", "chunk_key", "text", F.col("text") == "[No extractable text]", f, "filename", "listing_id")
+
+
+@query("SELECT file_id, zone, count(*)::BIGINT AS n FROM (SELECT file_id, CASE WHEN y <= 2 THEN 'header' WHEN y >= h - 1 THEN 'footer' ELSE 'body' END AS zone FROM (SELECT file_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS y, len(string_split(text, chr(10))) AS h FROM scan_chunks)) GROUP BY ALL")
+def zone_lines(spark: SparkSession, d: str) -> DataFrame:
+    s = t(spark, d, "scan_chunks").select("file_id", F.size(F.split("text", "\n")).alias("h"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return s.groupBy("file_id", pages.in_zone(F.col("p") + 1, F.lit(2), F.col("h") - 1).alias("zone")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN 'too large: ' || length(text) END AS error FROM documents")
+def size_guard(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = pages.guarded(t(spark, d, "documents"), F.length("text"), 2000)
+    return good.select("doc_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", "error"))
+
+
+@query("SELECT count(*) FILTER (WHERE h)::BIGINT AS hits, count(*) FILTER (WHERE NOT h)::BIGINT AS misses, round(count(*) FILTER (WHERE h) / count(*), 3) AS hit_rate FROM (SELECT coalesce(md5(text) IN (SELECT md5(text) FROM chunk_results), false) AS h FROM incoming_chunks)")
+def text_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """How many incoming texts are known letter by letter."""
+    return pages.cache_stats(t(spark, d, "incoming_chunks"), t(spark, d, "chunk_results"), F.md5(F.encode("text", "UTF-8")))
+
+
+@query(f"SELECT file_id, count(*) FILTER (WHERE a)::BIGINT AS active, count(*)::BIGINT AS total, CASE WHEN count(*) FILTER (WHERE a) > 0 THEN 'no match' ELSE 'all inactive' END AS reason FROM (SELECT file_id, {_ACT.format(m='metadata')} AS a FROM chunk_results) GROUP BY file_id")
+def no_result_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return pages.empty_reason(t(spark, d, "chunk_results"), "file_id", text.truth(F.try_element_at("metadata", F.lit("isActive"))))
+
+
+@query("SELECT chunk_key, m['lang'] AS lang, len(map_keys(m))::INT AS n FROM (SELECT chunk_key, map_from_entries(list_filter(map_entries(metadata), lambda e: trim(e.key) <> '' AND trim(coalesce(e.value, '')) <> '')) AS m FROM chunk_results WHERE metadata IS NOT NULL)")
+def header_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of keys and values as maps without blanks."""
+    c = t(spark, d, "chunk_results").where("metadata is not null").select("chunk_key", pages.header_map(F.map_entries("metadata")).alias("m"))
+    return c.select("chunk_key", F.try_element_at("m", F.lit("lang")).alias("lang"), F.size("m").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -57,3 +57,11 @@ def watch_folder(spark: SparkSession, folder: str, checkpoint: str, ingest: Call
     new = new.withColumn("filename", name).withColumn("suffix", suffix(name)).withColumn("route", route(name))
     w = new.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+def csv_rows(spark: SparkSession, folder: str, schema: str, delimiter: str = ",") -> DataFrame:
+    """A stream of the rows of CSV files that arrive in a folder, as text by their own columns."""
+    from siltworks.operators.rows import as_text
+
+    rows = spark.readStream.schema(schema).option("header", True).option("sep", delimiter).csv(folder)
+    return rows.select("*", as_text(rows.columns, F.lit("")).alias("row_text"))
