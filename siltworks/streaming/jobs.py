@@ -60,8 +60,9 @@ def watch_folder(spark: SparkSession, folder: str, checkpoint: str, ingest: Call
 
 
 def csv_rows(spark: SparkSession, folder: str, schema: str, delimiter: str = ",") -> DataFrame:
-    """A stream of the rows of CSV files that arrive in a folder, as text by their own columns."""
-    from siltworks.operators.rows import as_text
+    """A stream of the rows of CSV files that arrive in a folder, with ``row_text``: ``a: x | b: y`` without blank cells."""
+    from siltworks.functions.text import strip
 
     rows = spark.readStream.schema(schema).option("header", True).option("sep", delimiter).csv(folder)
-    return rows.select("*", as_text(rows.columns, F.lit("")).alias("row_text"))
+    cells = (F.concat(F.lit(f"{c}: "), F.nullif(strip(F.col(c).cast("string")), F.lit(""))) for c in rows.columns)
+    return rows.select("*", F.concat_ws(" | ", *cells).alias("row_text"))
