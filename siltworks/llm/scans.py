@@ -29,7 +29,7 @@ from siltworks.session import small, stored
 # What a character or pair is misread as, by what it looks like on the page.
 UNDO = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("@", "a"), ("9", "g"), ("8", "b"), ("c", "e"), ("l", "i"), ("f", "t"), ("ii", "u"), ("ii", "ü"),
-    ("cl", "d"), ("b", "h"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("6", "b"), ("6", "ó"), ("2", "z"),
+    ("cl", "d"), ("d", "cl"), ("b", "h"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("6", "b"), ("6", "ó"), ("2", "z"),
 )
 HYPHENS = "-\xad¬‐‑"
 EDGE, RATIO = 3, 10
