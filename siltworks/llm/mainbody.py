@@ -39,6 +39,7 @@ LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 BULLET = re.compile(r"^\s*(?:[-*•·‣–+]|\d{1,3}[.)])\s+")
 PATH = re.compile(r"\S\s*[>›»→]\s+\S")
 ROW = re.compile(r"\s+[|·•/]\s+|\s{3,}|\t")
+WORDS = re.compile(r"[^\W\d_]{2,}")
 STOP = re.compile(r"[.!?…:;][\"”»“’)\]]*$")
 
 
@@ -84,14 +85,15 @@ class Line:
     def __init__(self, row: dict):
         self.at, self.tpl, self.mark = row["at"], row["tpl"], row["mark"]
         raw = row["line"].strip()
-        self.links = bool(LINK.search(raw)) and not LINK.sub("", BULLET.sub("", raw)).strip(" |·-")
-        text = LINK.sub(r"\1", raw)
+        linked = "](" in raw
+        self.links = linked and bool(LINK.search(raw)) and not LINK.sub("", BULLET.sub("", raw)).strip(" |·-")
+        text = LINK.sub(r"\1", raw) if linked else raw
         bullet = bool(BULLET.match(text))
         head = text.startswith("#")
         self.text = BULLET.sub("", text).lstrip("#").strip()
         cells = [c for c in ROW.split(self.text) if c.strip()]
         digits = sum(any(ch.isdigit() for ch in c) and not re.search(r"\(\d+\)", c) for c in cells)
-        if PATH.search(self.text) and not re.search(r"[.!?]$", self.text) and len(self.text) < 160:
+        if len(self.text) < 160 and self.text[-1:] not in (".", "!", "?") and PATH.search(self.text):
             self.kind = "path"
         elif len(cells) >= 3 and not digits and len(self.text) / len(cells) < 40 and not STOP.search(self.text):
             self.kind = "links"
@@ -137,7 +139,7 @@ def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
     """(what, key, yes, no) counts of a page: lines that announce teasers, forms of titles and headings, words of furniture and of articles."""
     for i, x in enumerate(ls):
         if x.kind == "text" and (x.mark or sentences(x.text) > 1):
-            for w in set(re.findall(r"[^\W\d_]{2,}", x.text.lower())):
+            for w in set(WORDS.findall(x.text.lower())):
                 yield "w", w, int(bool(x.mark)), int(not x.mark)
         if x.mark and x.kind in ("short", "head", "text"):
             yes = announces(ls, i)
@@ -152,36 +154,38 @@ def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
                     yield "f", w, 0, 1
 
 
-def notice_odds(text: str, said: dict[str, tuple[int, int]], total: tuple[int, int]) -> float:
-    """Mean log odds of the words of a sentence to stand in furniture rather than in an article."""
-    w = set(re.findall(r"[^\W\d_]{2,}", text.lower())) & said.keys()
-    return sum(math.log((said[x][0] + 0.5) / (total[0] + 1)) - math.log((said[x][1] + 0.5) / (total[1] + 1)) for x in w) / max(5, len(w))
+class Odds:
+    """Log odds of two kinds of text by what was counted of each; ``default`` for what was never counted."""
 
+    def __init__(self, table: dict[str, tuple[int, int]], total: tuple[int, int]):
+        one = lambda y, n: math.log((y + 0.5) / (total[0] + 1)) - math.log((n + 0.5) / (total[1] + 1))
+        self.of, self.default = {w: one(y, n) for w, (y, n) in table.items()}, one(0, 0)
 
-def title_odds(text: str, forms: dict[str, tuple[int, int]], total: tuple[int, int]) -> float:
-    """Log odds that a short line has the form of a page title rather than of a heading inside an article."""
-    out = 0.0
-    for w in form(text):
-        y, n = forms.get(w, (0, 0))
-        out += math.log((y + 0.5) / (total[0] + 1)) - math.log((n + 0.5) / (total[1] + 1))
-    return out
+    def title(self, text: str) -> float:
+        """That a short line has the form of a page title rather than of a heading inside an article."""
+        return sum(self.of.get(w, self.default) for w in form(text))
 
+    def notice(self, text: str) -> float:
+        """Mean over its known words that a sentence stands in furniture rather than in an article."""
+        w = [self.of[x] for x in set(WORDS.findall(text.lower())) if x in self.of]
+        return sum(w) / max(5, len(w))
 
-def article(ls: list[Line], announcers: set[str], forms: dict[str, tuple[int, int]], total: tuple[int, int], said: dict[str, tuple[int, int]], spoken: tuple[int, int]) -> list[int]:
+
+def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -> list[int]:
     """Places of the lines that belong to the page's own article."""
     solid = ("text", "item", "row")
     for i, x in enumerate(ls[1:-1], 1):
         # an entry of other sites' menus that heads a paragraph here
         if x.mark == 1 and x.kind == "short" and str(x.tpl) not in announcers and not any(c.isdigit() for c in x.text):
             before, after = ls[i - 1], ls[i + 1]
-            if before.kind in solid and not before.off and after.kind in solid and not after.off and title_odds(x.text, forms, total) < -1:
+            if before.kind in solid and not before.off and after.kind in solid and not after.off and titles.title(x.text) < -1:
                 x.mark = 0
     for x in ls:
         # a notice that no other page has, told by its words
-        if not x.mark and x.kind == "text" and len(x.text) > 60 and notice_odds(x.text, said, spoken) > NOTICE:
+        if not x.mark and x.kind == "text" and len(x.text) > 60 and notices.notice(x.text) > NOTICE:
             x.mark = 1
     zero = [x.off or x.kind == "link" or (x.kind == "text" and x.text.endswith("…")) for x in ls]
-    odds = [title_odds(x.text, forms, total) if x.titled else -9.0 for x in ls]
+    odds = [titles.title(x.text) if x.titled else -9.0 for x in ls]
     # a title has the form of one; among teasers, any short line that heads nothing is one
     heads = [i + 1 < len(ls) and ls[i + 1].kind in solid and not ls[i + 1].off for i in range(len(ls))]
     is_title = [x.titled and (x.kind == "link" or odds[i] > 0 or not heads[i]) for i, x in enumerate(ls)]
@@ -258,21 +262,20 @@ def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_k
 
     counts = rows.select("rows").mapInPandas(observe, "what string, k string, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counts = stored(counts, "page-forms")
-    def table(what: str) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
+    def odds(what: str) -> Odds:
         # what is rarer than one in 20,000 decides nothing, so at most 20,000 are sent out
         own = counts.where(F.col("what") == what)
         whole = own.agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0))).first()
         some = own.where((F.col("yes") + F.col("no")) * 20_000 >= whole[0] + whole[1])
-        return {r.k: (r.yes, r.no) for r in some.collect()}, (int(whole[0]), int(whole[1]))
+        return Odds({r.k: (r.yes, r.no) for r in some.collect()}, (int(whole[0]), int(whole[1])))
 
-    forms, total = table("f")
-    said, spoken = table("w")
+    titles, notices = odds("f"), odds("w")
     lines = counts.where("what = 'a'").agg(F.coalesce(F.sum(F.col("yes") + F.col("no")), F.lit(0))).first()[0]
     announcers = {r.k for r in counts.where((F.col("what") == "a") & (F.col("yes") >= 3) & (F.col("yes") >= F.col("no")) & ((F.col("yes") + F.col("no")) * 20_000 >= lines)).collect()}
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, at + 1) for p, own in zip(b["page"], b["rows"], strict=True) for at in article([Line(r) for r in own], announcers, forms, total, said, spoken)]
+            out = [(p, at + 1) for p, own in zip(b["page"], b["rows"], strict=True) for at in article([Line(r) for r in own], announcers, titles, notices)]
             yield pd.DataFrame(out, columns=["page", "line_no"]).astype({"line_no": "int32"})
 
     kind = pages.schema[key].dataType.simpleString()
