@@ -138,7 +138,8 @@ def form(text: str) -> list[str]:
 def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
     """(what, key, yes, no) counts of a page: lines that announce teasers, forms of titles and headings, words of furniture and of articles."""
     for i, x in enumerate(ls):
-        if x.kind == "text" and (x.mark or sentences(x.text) > 1):
+        own = x.kind in ("item", "row") or x.kind == "text" and sentences(x.text) > 1
+        if x.kind in ("text", "short") and x.mark == 2 or own and not x.mark:
             for w in set(WORDS.findall(x.text.lower())):
                 yield "w", w, int(bool(x.mark)), int(not x.mark)
         if x.mark and x.kind in ("short", "head", "text"):
@@ -182,7 +183,7 @@ def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -
                 x.mark = 0
     for x in ls:
         # a notice that no other page has, told by its words
-        if not x.mark and x.kind == "text" and len(x.text) > 60 and notices.notice(x.text) > NOTICE:
+        if not x.mark and (x.kind == "text" and len(x.text) > 60 or x.kind == "short" and len(x.text.split()) > 4) and notices.notice(x.text) > NOTICE:
             x.mark = 1
     zero = [x.off or x.kind == "link" or (x.kind == "text" and x.text.endswith("…")) for x in ls]
     odds = [titles.title(x.text) if x.titled else -9.0 for x in ls]
