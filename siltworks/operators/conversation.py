@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.ids import DNS, uuid5
 from siltworks.functions.text import optional, squeeze
+from siltworks.operators.neighbours import with_previous
 
 
 def normalised(messages: DataFrame, role: str = "role", content: str = "content") -> DataFrame:
@@ -15,11 +16,10 @@ def normalised(messages: DataFrame, role: str = "role", content: str = "content"
     return m.where(F.col(role).isin("user", "assistant") & (F.col(content) != ""))
 
 
-def without_repeats(messages: DataFrame, session: str, order: list[str], same: list[str]) -> DataFrame:
-    """Without messages that equal the one before them in their session. The sort spills; no session is gathered."""
-    w = Window.partitionBy(session).orderBy(*order)
-    before = F.lag(F.struct(*same)).over(w)
-    return messages.withColumn("_b", before).where(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(F.struct(*same))).drop("_b")
+def without_repeats(messages: DataFrame, session: str, order: list[str], same: list[str], bucket: Column | None = None) -> DataFrame:
+    """Without messages that equal the one before them in their session. ``bucket`` splits long sessions (see neighbours)."""
+    m = with_previous(messages.where(F.col(session).isNotNull()), session, order, same, F.lit(0) if bucket is None else bucket, "_before")
+    return m.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.struct(*same))).drop("_before")
 
 
 def last_n(messages: DataFrame, session: str, order: list[str], n: int) -> DataFrame:

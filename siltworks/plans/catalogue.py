@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import ids, jsonops, markup, text, urls
 from siltworks.operators import chunking, conversation, listing, metrics, pages, payload, rows, search, store
+from siltworks.operators.neighbours import with_previous
 from siltworks.session import small, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,7 +402,7 @@ SELECT file_id, chunk_key, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE
 def semantic_adjacent(spark: SparkSession, d: str) -> DataFrame:
     """How alike each chunk is to the one before it in its file."""
     c = t(spark, d, "chunk_results").where("file_id is not null").select("file_id", "chunk_key", "chunk_index", "text")
-    c = c.withColumn("before", F.lag("text").over(Window.partitionBy("file_id").orderBy("chunk_index", "chunk_key"))).where("before is not null")
+    c = with_previous(c, "file_id", ["chunk_index", "chunk_key"], ["text"], F.floor(F.col("chunk_index") / 256)).where("previous is not null").withColumn("before", F.col("previous.text"))
     return c.select("file_id", "chunk_key", F.round(text.jaccard(F.col("before"), F.col("text")), 9).alias("alike"))
 
 
@@ -614,7 +615,7 @@ def history_last_n(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
 def dedupe_consecutive(spark: SparkSession, d: str) -> DataFrame:
-    return conversation.without_repeats(t(spark, d, "events"), "user_id", ["event_id"], ["event_type"]).select("user_id", "event_id", "event_type")
+    return conversation.without_repeats(t(spark, d, "events"), "user_id", ["event_id"], ["event_type"], F.floor(F.col("event_id") / 50_000)).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, max(event_id)::BIGINT AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, user_id LIMIT 1000")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from siltworks.operators import metrics, pages
+from siltworks.operators import conversation, metrics, neighbours, pages
 from siltworks.streaming import jobs
 
 
@@ -37,3 +37,13 @@ def test_csv_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("csvrows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert {r.row_text for r in spark.table("csvrows").collect()} == {"x: 1", "x: 2 | y: b"}
+
+
+def test_previous_across_pieces(spark):
+    rows = [("a", i, i % 3) for i in range(50)] + [("b", None, 1), ("b", 3, 1), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    got = {(r.k, r.o): r.previous and (r.previous.o, r.previous.v) for r in neighbours.with_previous(df, "k", ["o"], ["o", "v"], F.floor(F.col("o") / 7)).collect()}
+    assert all(got["a", i] == (i - 1, (i - 1) % 3) for i in range(1, 50)) and got["a", 0] is None
+    assert got["b", None] is None and got["b", 3] == (None, 1)
+    left = conversation.without_repeats(df.where("k = 'b'"), "k", ["o"], ["v"], F.floor(F.col("o") / 7))
+    assert [(r.k, r.o) for r in left.collect()] == [("b", None)]
