@@ -49,22 +49,29 @@ def template(line: Column, name: Column) -> Column:
     return F.trim(F.when(F.length(name) > 3, F.regexp_replace(bare, F.array_join(F.split(name, ""), "[ -]?"), "<site>")).otherwise(bare))
 
 
-def _lines(pages: DataFrame, files: DataFrame, key: str, file_key: str, text: str) -> DataFrame:
-    """(page, host, at, line, tpl, named) of the non-blank lines; named: the site's name is in it."""
+def _pages(pages: DataFrame, files: DataFrame, key: str, file_key: str, text: str) -> DataFrame:
+    """(page, host, t) of the pages with an id."""
     of = files.select(F.col(file_key).alias("_f"), W.host(F.col("source_url")).alias("host")).where(F.col("_f").isNotNull() & F.col("host").isNotNull())
-    of = of.groupBy("_f").agg(F.min("host").alias("host"))
-    p = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("page"), F.col(file_key).alias("_f"), F.split(F.col(text), "\n").alias("_l")).join(small(of, 200), "_f", "left")
-    rows = p.select("page", "host", F.posexplode("_l").alias("at", "line")).where(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")) != "")
+    of = stored(of.groupBy("_f").agg(F.min("host").alias("host")), "page-sites")
+    return pages.where(F.col(key).isNotNull()).select(F.col(key).alias("page"), F.col(file_key).alias("_f"), F.col(text).alias("t")).join(small(of, 200), "_f", "left").drop("_f")
+
+
+def _lines(p: DataFrame) -> DataFrame:
+    """(page, host, at, line, tpl, named) of the non-blank lines; named: the site's name is in it."""
+    rows = p.select("page", "host", F.posexplode(F.split("t", "\n")).alias("at", "line")).where(F.col("line").rlike(r"(?U)\S"))
     name = F.coalesce(F.regexp_replace(F.regexp_extract("host", r"^([^.\-]+)", 1), "[^a-z0-9]", ""), F.lit(""))
     rows = rows.withColumn("_t", template(F.col("line"), name))
     return rows.select("page", "host", "at", "line", F.xxhash64("_t").alias("tpl"), F.contains(F.col("_t"), F.lit("<site>")).alias("named"))
 
 
-def _flagged(lines: DataFrame) -> DataFrame:
-    """(page, rows): each page's lines in order as (at, line, tpl, mark); mark 2: furniture of its site, 1: of many sites."""
+def _flagged(lines: DataFrame, size: DataFrame) -> DataFrame:
+    """(page, at, line, tpl, mark): arrays of each page's lines in order; mark 2: furniture of its site, 1: of many sites.
+
+    size: (host, n), the pages of each site.
+    """
     seen = lines.select("page", "host", "tpl").distinct()
     count = seen.groupBy("host", "tpl").agg(F.count("*").alias("k"))
-    size = lines.select("page", "host").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    size = stored(size, "site-sizes")
     share = stored(count.join(small(size, 80), "host").where("n >= %d" % SITE_PAGES).withColumn("share", F.col("k") / F.col("n")), "line-shares")
     often = (F.col("share") >= SITE_SHARE) & (F.col("k") >= 5) | (F.col("share") >= 2 * SITE_SHARE) & (F.col("k") >= 3)
     own = share.where(often).select("host", "tpl", F.lit(2).alias("own"))
@@ -74,7 +81,7 @@ def _flagged(lines: DataFrame) -> DataFrame:
     own, wide = stored(own, "site-furniture"), stored(wide, "wide-furniture")
     out = lines.join(small(own, 60), ["host", "tpl"], "left").join(small(wide, 24), "tpl", "left")
     rows = out.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", "line", "tpl", F.coalesce("own", F.when(F.col("named"), 2), "wide", F.lit(0)).alias("mark")))).alias("rows"))
-    return stored(rows, "page-lines")
+    return stored(rows.select("page", *(F.col(f"rows.{c}").alias(c) for c in ("at", "line", "tpl", "mark"))), "page-lines")
 
 
 class Line:
@@ -82,9 +89,9 @@ class Line:
 
     __slots__ = ("at", "text", "tpl", "mark", "kind", "links")
 
-    def __init__(self, row: dict):
-        self.at, self.tpl, self.mark = row["at"], row["tpl"], row["mark"]
-        raw = row["line"].strip()
+    def __init__(self, at: int, line: str, tpl: int, mark: int):
+        self.at, self.tpl, self.mark = int(at), int(tpl), int(mark)
+        raw = line.strip()
         linked = "](" in raw
         self.links = linked and bool(LINK.search(raw)) and not LINK.sub("", BULLET.sub("", raw)).strip(" |·-")
         text = LINK.sub(r"\1", raw) if linked else raw
@@ -251,17 +258,19 @@ def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -
 
 def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_key: str = "file_id", text: str = "text") -> DataFrame:
     """(``key``, line_no): the lines of each page that belong to its own article; lines are counted from 1."""
-    rows = _flagged(_lines(pages, files, key, file_key, text))
+    own = _pages(pages, files, key, file_key, text)
+    size = own.where(F.col("t").rlike(r"(?U)\S")).select("page", "host").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    rows = _flagged(_lines(own), size)
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seen: Counter[tuple[str, str]] = Counter()
-            for own in b["rows"]:
-                for what, k, yes, no in observed([Line(r) for r in own]):
+            for own in zip(b["at"], b["line"], b["tpl"], b["mark"], strict=True):
+                for what, k, yes, no in observed([Line(*r) for r in zip(*own, strict=True)]):
                     seen[what, k] += yes + no * 1_000_000
             yield pd.DataFrame([(w, k, v % 1_000_000, v // 1_000_000) for (w, k), v in seen.items()], columns=["what", "k", "yes", "no"])
 
-    counts = rows.select("rows").mapInPandas(observe, "what string, k string, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counts = rows.mapInPandas(observe, "what string, k string, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counts = stored(counts, "page-forms")
     def odds(what: str) -> Odds:
         # what is rarer than one in 20,000 decides nothing, so at most 20,000 are sent out
@@ -276,7 +285,8 @@ def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_k
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, at + 1) for p, own in zip(b["page"], b["rows"], strict=True) for at in article([Line(r) for r in own], announcers, titles, notices)]
+            own = zip(b["at"], b["line"], b["tpl"], b["mark"], strict=True)
+            out = [(p, at + 1) for p, x in zip(b["page"], own, strict=True) for at in article([Line(*r) for r in zip(*x, strict=True)], announcers, titles, notices)]
             yield pd.DataFrame(out, columns=["page", "line_no"]).astype({"line_no": "int32"})
 
     kind = pages.schema[key].dataType.simpleString()
