@@ -52,9 +52,10 @@ def to_markdown(html: Column, most_links: int = 50) -> Column:
 def distinct_blocks(md: Column) -> Column:
     """Blocks between blank lines, each only where it first stands; case and white space do not count."""
     blocks = F.filter(F.transform(F.split(md, r"\n\s*\n"), strip), lambda b: b != "")
-    key = F.transform(blocks, lambda b: F.lower(squeeze(b)))
-    first = F.filter(F.transform(blocks, lambda b, i: F.when(F.array_position(key, F.lower(squeeze(b))) == i + 1, b)), lambda b: b.isNotNull())
-    return F.array_join(first, "\n\n")
+    pairs = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.lower(squeeze(b)).alias("k")))
+    # the array of one array binds the pairs to a variable, so their keys are made once and not for every block
+    first = F.transform(F.array(pairs), lambda ps: F.filter(ps, lambda p, i: F.array_position(F.transform(ps, lambda x: x["k"]), p["k"]) == i + 1))
+    return F.array_join(F.transform(F.element_at(first, 1), lambda x: x["b"]), "\n\n")
 
 
 def without_title(md: Column, page_title: Column) -> Column:
