@@ -213,6 +213,19 @@ def test_batches_against_history(spark):
     assert run([batch.limit(0)]) == set()
 
 
+def test_batches_beyond_rarest_chunks(spark):
+    # the alike record shares only chunks that are commoner than an inserted line of unrelated records
+    blocks, menu = [text(30) for _ in range(4)], text(30)
+    old = [f"{b} {text(60)}" for b in blocks for _ in range(150)] + [f"{menu} {text(60)}" for _ in range(135)] + [" ".join(blocks)]
+    x = " ".join([blocks[2], blocks[0], menu, blocks[3], blocks[1]])
+    hist = spark.createDataFrame(list(enumerate(old)), "id long, text string")
+    h = history.History(spark)
+    h.append(history.chunked(hist, "id", "text"), hist, 0)
+    batch = spark.createDataFrame([(1, 1, x), (2, 1, text(100))], "k long, batch int, text string")
+    assert alike(x, old[-1]) and {r[0] for r in history.refused(h, batch, "k", "batch").collect()} == {1}
+    h.drop()
+
+
 def test_chunks_survive_edits():
     import numpy as np
 
