@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ from siltworks.session import small, stored
 
 #: Share of a site's pages; share of the pages of all sites that have a line; pages that a site needs; window in lines.
 SITE_SHARE, WIDE_SHARE, SITE_PAGES, WINDOW = 0.25, 0.12, 4, 5
+#: Count from which a word or form says anything, whatever the size of the table.
+FLOOR = 5
+#: Pages whose counts are held as Python objects at once.
+SLICE = 256
 #: Mean log odds of its words from which a sentence is a notice.
 NOTICE = 1.0
 
@@ -162,6 +167,17 @@ def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
                     yield "f", w, 0, 1
 
 
+def asked(ls: list[Line]) -> set[tuple[str, str]]:
+    """(what, key) of all counts that ``article`` may want for a page."""
+    out = {("a", str(x.tpl)) for x in ls if x.kind in ("short", "head", "text")}
+    for x in ls:
+        if x.kind in ("short", "head", "link"):
+            out |= {("f", w) for w in form(x.text)}
+        if x.kind in ("short", "text"):
+            out |= {("w", w) for w in WORDS.findall(x.text.lower())}
+    return out
+
+
 class Odds:
     """Log odds of two kinds of text by what was counted of each; ``default`` for what was never counted."""
 
@@ -272,25 +288,43 @@ def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_k
 
     counts = rows.mapInPandas(observe, "what string, k string, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counts = stored(counts, "page-forms")
-    def odds(what: str) -> Odds:
-        # what is rarer than one in 20,000 decides nothing, so at most 20,000 are sent out
-        own = counts.where(F.col("what") == what)
-        whole = own.agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0))).first()
-        some = own.where((F.col("yes") + F.col("no")) * 20_000 >= whole[0] + whole[1])
-        return Odds({r.k: (r.yes, r.no) for r in some.collect()}, (int(whole[0]), int(whole[1])))
-
-    titles, notices = odds("f"), odds("w")
-    lines = counts.where("what = 'a'").agg(F.coalesce(F.sum(F.col("yes") + F.col("no")), F.lit(0))).first()[0]
-    announcers = {r.k for r in counts.where((F.col("what") == "a") & (F.col("yes") >= 3) & (F.col("yes") >= F.col("no")) & ((F.col("yes") + F.col("no")) * 20_000 >= lines)).collect()}
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = zip(b["at"], b["line"], b["tpl"], b["mark"], strict=True)
-            out = [(p, at + 1) for p, x in zip(b["page"], own, strict=True) for at in article([Line(*r) for r in zip(*x, strict=True)], announcers, titles, notices)]
-            yield pd.DataFrame(out, columns=["page", "line_no"]).astype({"line_no": "int32"})
+
+    def total(what: str) -> tuple[int, int]:
+        whole = counts.where(F.col("what") == what).agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0))).first()
+        return int(whole[0]), int(whole[1])
+
+    totals = {what: total(what) for what in "fw"}
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):
+                b = whole.iloc[lo : lo + SLICE]
+                own = zip(b["at"], b["line"], b["tpl"], b["mark"], strict=True)
+                out = [(p, w, k) for p, x in zip(b["page"], own, strict=True) for w, k in asked([Line(*r) for r in zip(*x, strict=True)])]
+                yield pd.DataFrame(out, columns=["page", "what", "k"]).astype({"page": whole["page"].dtype})
 
     kind = pages.schema[key].dataType.simpleString()
-    return rows.mapInPandas(pick, f"page {kind}, line_no int").withColumnRenamed("page", key).distinct()
+    known = F.when(F.col("what") == "a", (F.col("yes") >= 3) & (F.col("yes") >= F.col("no"))).otherwise(F.col("yes") + F.col("no") >= FLOOR)
+    asks = rows.mapInPandas(needed, f"page {kind}, what string, k string")
+    told = asks.join(small(stored(counts.where(known), "known-forms"), 200), ["what", "k"]).groupBy("page").agg(F.collect_list(F.struct("what", "k", "yes", "no")).alias("told"))
+    told = rows.join(told, "page", "left").select("page", "at", "line", "tpl", "mark", *(F.coalesce(F.col(f"told.{c}"), F.array()).alias(c) for c in ("what", "k", "yes", "no")))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                keys, places = [], []
+                for i, (at, line, tpl, mark, what, k, yes, no) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                    of: dict[str, dict[str, tuple[int, int]]] = {"a": {}, "f": {}, "w": {}}
+                    for w, x, y, n in zip(what, k, yes, no, strict=True):
+                        of[w][x] = (y, n)
+                    ls = [Line(*r) for r in zip(at, line, tpl, mark, strict=True)]
+                    own = [q + 1 for q in article(ls, set(of["a"]), Odds(of["f"], totals["f"]), Odds(of["w"], totals["w"]))]
+                    keys += [i] * len(own)
+                    places += own
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(places, pa.int32())], names=["page", "line_no"])
+
+    return told.mapInArrow(pick, f"page {kind}, line_no int").withColumnRenamed("page", key).distinct()
 
 
 def bodies(pages: DataFrame, files: DataFrame, key: str = "page_id", file_key: str = "file_id", text: str = "text") -> DataFrame:

@@ -176,6 +176,21 @@ def test_main_body(spark):
     assert mainbody.body_places(df.limit(0), f).count() == 0
 
 
+def test_announcer_of_a_site_in_a_larger_table(spark):
+    # one site's teaser heading stands on five pages, among 2,000 pages whose furniture makes 120,000 counts
+    title = lambda: f"How to keep {VOCAB[RNG.randrange(300)]} out of {VOCAB[RNG.randrange(300)]}"
+    article = lambda: [title(), f"The {text(9)} is found here. It {text(12)}.", f"Then {text(20)}. And {text(8)}.", f"Last {text(15)}. So {text(5)}."]
+    pages = [(p, "f", "\n".join([*article(), "From our barn", title(), title(), title()])) for p in range(5)]
+    menu = [f"{a} {b}" for a in VOCAB[:60] for b in ("page",)]
+    pages += [(100 + p, f"g{p % 2}", "\n".join([*article()[:2], *menu])) for p in range(2000)]
+    df = spark.createDataFrame(pages, "page_id long, file_id string, text string")
+    f = spark.createDataFrame([("f", "https://kd-x.example/"), ("g0", "https://qa-x.example/"), ("g1", "https://qb-x.example/")], FILES)
+    got = defaultdict(set)
+    for r in mainbody.body_places(df, f).where("page_id < 100").collect():
+        got[r.page_id].add(r.line_no)
+    assert all(not got[p] & {5, 6, 7, 8} and {2, 3, 4} <= got[p] for p in range(5))
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------------
 
 
