@@ -62,19 +62,19 @@ def _pages(pages: DataFrame, files: DataFrame, key: str, file_key: str, text: st
 
 
 def _lines(p: DataFrame) -> DataFrame:
-    """(page, host, at, line, tpl, named) of the non-blank lines; named: the site's name is in it."""
-    rows = p.select("page", "host", F.posexplode(F.split("t", "\n")).alias("at", "line")).where(F.col("line").rlike(r"(?U)\S"))
+    """(page, host, copy, at, line, tpl, named) of the non-blank lines; copy: the same for the same text; named: the site's name is in it."""
+    rows = p.select("page", "host", F.xxhash64("t").alias("copy"), F.posexplode(F.split("t", "\n")).alias("at", "line")).where(F.col("line").rlike(r"(?U)\S"))
     name = F.coalesce(F.regexp_replace(F.regexp_extract("host", r"^([^.\-]+)", 1), "[^a-z0-9]", ""), F.lit(""))
     rows = rows.withColumn("_t", template(F.col("line"), name))
-    return rows.select("page", "host", "at", "line", F.xxhash64("_t").alias("tpl"), F.contains(F.col("_t"), F.lit("<site>")).alias("named"))
+    return rows.select("page", "host", "copy", "at", "line", F.xxhash64("_t").alias("tpl"), F.contains(F.col("_t"), F.lit("<site>")).alias("named"))
 
 
 def _flagged(lines: DataFrame, size: DataFrame) -> DataFrame:
     """(page, at, line, tpl, mark): arrays of each page's lines in order; mark 2: furniture of its site, 1: of many sites.
 
-    size: (host, n), the pages of each site.
+    size: (host, n), the distinct texts of each site; copies of a page count once.
     """
-    seen = lines.select("page", "host", "tpl").distinct()
+    seen = lines.select("copy", "host", "tpl").distinct()
     count = seen.groupBy("host", "tpl").agg(F.count("*").alias("k"))
     size = stored(size, "site-sizes")
     share = stored(count.join(small(size, 80), "host").where("n >= %d" % SITE_PAGES).withColumn("share", F.col("k") / F.col("n")), "line-shares")
@@ -275,7 +275,7 @@ def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -
 def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_key: str = "file_id", text: str = "text") -> DataFrame:
     """(``key``, line_no): the lines of each page that belong to its own article; lines are counted from 1."""
     own = _pages(pages, files, key, file_key, text)
-    size = own.where(F.col("t").rlike(r"(?U)\S")).select("page", "host").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    size = own.where(F.col("t").rlike(r"(?U)\S")).select(F.xxhash64("t").alias("copy"), "host").distinct().groupBy("host").agg(F.count("*").alias("n"))
     rows = _flagged(_lines(own), size)
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -191,6 +191,15 @@ def test_announcer_of_a_site_in_a_larger_table(spark):
     assert all(not got[p] & {5, 6, 7, 8} and {2, 3, 4} <= got[p] for p in range(5))
 
 
+def test_copies_of_an_article_are_no_furniture(spark):
+    page = lambda: "\n".join([f"The {text(9)} is found here. It {text(12)}.", f"Then {text(20)}. And {text(8)}.", f"Last {text(15)}. So {text(5)}.", "Home and all our news", "Site map and help"])
+    copy = page()
+    pages = [(p, "f", page()) for p in range(8)] + [(100 + p, "f", copy) for p in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, file_id string, text string")
+    got = mainbody.body_places(df, spark.createDataFrame([("f", "https://kd-x.example/")], FILES)).where("page_id >= 100").collect()
+    assert {(r.page_id, r.line_no) for r in got} == {(100 + p, n) for p in range(6) for n in (1, 2, 3)}
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------------
 
 
