@@ -33,7 +33,7 @@ UNDO = (
 )
 HYPHENS = "-\xad¬‐‑"
 EDGE, RATIO = 3, 10
-#: Blocks of pages for numbering paragraphs.
+#: Pages of a block for numbering paragraphs, and of a piece of a paragraph.
 BLOCK = 512
 
 _FOLD_PAIRS = (("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("ﬁ", "fi"), ("ﬂ", "fl"))
@@ -257,7 +257,7 @@ class Scans:
     def paragraphs(self) -> DataFrame:
         """(file, page, place, piece, text): the paragraphs of each file's text in order, by the page they begin on.
 
-        A paragraph that runs over more than one block of pages comes in pieces, one a block, so no row grows with its file.
+        A paragraph that runs over more than ``BLOCK`` pages comes in pieces of so many pages from its first on, so no row grows with its file.
         """
         right = self.misread().groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("w", "word"))).alias("right"))
         split = self.mended().groupBy("id").agg(F.collect_list(F.struct("line", "a", "b", "word")).alias("split"))
@@ -281,8 +281,9 @@ class Scans:
         ends = parts.groupBy("file", "block").agg(start.alias("s"), F.min(at).alias("head"))
         ends = ends.select("file", "block", F.coalesce(F.max("s").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.first("head").over(Window.partitionBy("file").orderBy("block"))).alias("carry"))
         own = own.join(ends, ["file", "block"]).withColumn("start", F.coalesce("start", "carry"))
-        whole = own.groupBy("file", "start", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "place", "text"))), lambda x: x["text"]), " ").alias("text"))
-        return whole.select("file", F.col("start.page").alias("page"), F.col("start.place").alias("place"), F.col("block").alias("piece"), "text")
+        own = own.withColumn("piece", F.floor((F.col("page") - F.col("start.page")) / BLOCK))
+        whole = own.groupBy("file", "start", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "place", "text"))), lambda x: x["text"]), " ").alias("text"))
+        return whole.select("file", F.col("start.page").alias("page"), F.col("start.place").alias("place"), "piece", "text")
 
 
 def repaired(text: str | None, fur: set[int], right: dict[str, str], split: dict[int, str], cut: bool) -> list[tuple[bool, str]]:

@@ -288,6 +288,13 @@ def test_scans(spark):
     assert scans.Scans(df.limit(0)).found().count() == 0
 
 
+def test_paragraph_over_a_block_of_pages(spark):
+    data = [(p, "f", p, text(30)) for p in range(scans.BLOCK - 2, scans.BLOCK + 3)]
+    df = spark.createDataFrame(data, "scan_id long, file_id string, page_no int, text string")
+    got = scans.Scans(df).paragraphs().collect()
+    assert [(r.page, r.piece) for r in got] == [(scans.BLOCK - 2, 0)] and len(got[0].text.split()) == 150
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------------------
 
 
