@@ -5,7 +5,7 @@ Order MinHash. A text's words are read as occurrence-labelled k-mers; each of ``
 ``ordered`` the order is part of what must agree (edit similarity); without it only the sampled k-mers must, because the
 limit of problem 2 sets word order aside, and the order serves to lay the band of the alignment.
 
-Candidates are sifted by an odd sketch: every word flips one of 256 bits, so the bits that differ never outnumber the
+Candidates are sifted by an odd sketch: every word flips one of 512 bits, so the bits that differ never outnumber the
 words that differ. The bound is exact: no pair over the limit is lost to it; nor is any to the histogram bound that
 follows on the words themselves. What is left is verified by a banded alignment (shared words on the band already decide
 most pairs) and, where that does not suffice, by the exact bag of words.
@@ -34,6 +34,8 @@ LEAST = 20
 BAND = 16
 #: ``num`` * shared >= ``den`` * total.
 NUM, DEN = 10, 7
+#: Columns of the odd sketch, 64 bits each.
+SKETCH = [f"s{j}" for j in range(8)]
 
 
 def labelled(v: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -84,13 +86,16 @@ def samples(h: np.ndarray, off: np.ndarray, sketches: int = SKETCHES, sampled: i
     return out
 
 
-def odd_bits(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, 4) words of the odd sketch: bit i is the parity of the words that hash to i."""
-    lens = np.diff(off)
-    row = np.repeat(np.arange(len(lens)), lens)
-    spot = (W.mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(255)).astype(np.int64)
-    n = np.bincount(row * 256 + spot, minlength=len(lens) * 256).reshape(len(lens), 256) & 1
-    return np.packbits(n.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+def odd_bits(h: np.ndarray, off: np.ndarray, bits: int = 64 * len(SKETCH)) -> np.ndarray:
+    """(texts, bits / 64) words of the odd sketch: bit i is the parity of the words that hash to i."""
+    out = np.zeros((len(off) - 1, bits // 64), np.uint64)
+    spot = (W.mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
+    for lo in range(0, len(out), 2048):
+        o = off[lo : lo + 2049]
+        row = np.repeat(np.arange(len(o) - 1), np.diff(o))
+        n = np.bincount(row * bits + spot[o[0] : o[-1]], minlength=(len(o) - 1) * bits).reshape(-1, bits) & 1
+        out[lo : lo + 2048] = np.packbits(n.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    return out
 
 
 def bag_hashes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def sketched(df: DataFrame, key: str, text: str, least: int = LEAST, ordered: bool = False, sketches: int = SKETCHES) -> DataFrame:
-    """(id, n, b0, b1, s0..s3, keys) of the rows of at least ``least`` words."""
+    """(id, n, b0, b1, s0..s7, keys) of the rows of at least ``least`` words."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,18 +120,18 @@ def sketched(df: DataFrame, key: str, text: str, least: int = LEAST, ordered: bo
             bag, odd, keys = bag_hashes(h, off), odd_bits(h, off), samples(h, off, sketches, ordered=ordered)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, sketches, dtype=np.int32)), _signed(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off).astype(np.int32)), *(_signed(bag[:, j]) for j in range(2)), *(_signed(odd[:, j]) for j in range(4)), lists],
-                names=["id", "n", "b0", "b1", "s0", "s1", "s2", "s3", "keys"],
+                [b.column(0), pa.array(np.diff(off).astype(np.int32)), *(_signed(bag[:, j]) for j in range(2)), *(_signed(odd[:, j]) for j in range(len(SKETCH))), lists],
+                names=["id", "n", "b0", "b1", *SKETCH, "keys"],
             )
 
     src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), W.word_hashes(F.col(text)).alias("h")).where(F.size("h") >= least)
-    return src.mapInArrow(over, "id long, n int, b0 long, b1 long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+    return src.mapInArrow(over, f"id long, n int, b0 long, b1 long, {', '.join(f'{x} long' for x in SKETCH)}, keys array<long>")
 
 
 def possible(a: str, b: str) -> Column:
     """Whether two sketches can belong to texts over the limit: by length and by the bits that differ."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
     # shared >= den (na + nb) / (num + den), so at most (num - den)(na + nb) / (num + den) words differ
     return (NUM * F.least(na, nb) >= DEN * F.greatest(na, nb)) & ((NUM + DEN) * apart <= (NUM - DEN) * (na + nb))
 
@@ -221,7 +226,7 @@ def near_pairs(df: DataFrame, key: str, text: str, least: int = LEAST, ordered:
     many = stored(sk.groupBy("b0", "b1").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "copy-classes")
     members = stored(sk.select("id", "b0", "b1").join(small(many.select("b0", "b1", "rep")), ["b0", "b1"]).select("rep", "id"), "copy-members")
     reps = sk.join(small(members.where("rep <> id").select("id"), 24), "id", "left_anti")
-    rows = reps.select(F.explode("keys").alias("key"), "id", "n", "s0", "s1", "s2", "s3")
+    rows = reps.select(F.explode("keys").alias("key"), "id", "n", *SKETCH)
     hit = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key")).where((F.col("l.id") < F.col("r.id")) & possible("l", "r"))
     cand = stored(hit.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "near-candidates")
     ids = stored(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import encoding, history, leakage, mainbody, ordermin, packing, scans, templates
-from siltworks.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,9 +48,8 @@ def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of incoming_chunks that the history or an earlier accepted row holds already."""
-    old = _t(spark, d, "chunk_results").select(F.col("chunk_key").alias("id"), "text")
     h = history.History(spark)
-    h.append(stored(history.chunked(old, "id", "text"), "history-chunks"), old, 0)
+    h.begin(_t(spark, d, "chunk_results"), "chunk_key")
     out = history.refused(h, _t(spark, d, "incoming_chunks"), "incoming_id", "batch_no")
     h.drop()
     return out.select(F.col("id").alias("incoming_id"))

@@ -225,7 +225,7 @@ def test_batches_against_history(spark):
 
     def run(parts):
         h = history.History(spark)
-        h.append(history.chunked(hist, "id", "text"), hist, 0)
+        h.begin(hist, "id")
         out = set()
         for p in parts:
             out |= {r[0] for r in history.refused(h, p, "k", "batch").collect()}
@@ -244,18 +244,62 @@ def test_batches_beyond_rarest_chunks(spark):
     x = " ".join([blocks[2], blocks[0], menu, blocks[3], blocks[1]])
     hist = spark.createDataFrame(list(enumerate(old)), "id long, text string")
     h = history.History(spark)
-    h.append(history.chunked(hist, "id", "text"), hist, 0)
+    h.begin(hist, "id")
     batch = spark.createDataFrame([(1, 1, x), (2, 1, text(100))], "k long, batch int, text string")
     assert alike(x, old[-1]) and {r[0] for r in history.refused(h, batch, "k", "batch").collect()} == {1}
     h.drop()
 
 
+def test_popular_blocks_beside_rare_pieces(spark):
+    # the row is ten popular blocks in another order than its twin and two rare pieces that other records hold
+    blocks, rare = [text(12) for _ in range(10)], [text(9), text(9)]
+    old = [f"{RNG.choice(blocks)} {RNG.choice(blocks)} {text(60)}" for _ in range(600)] + [f"{p} {text(50)}" for p in rare for _ in range(2)] + [" ".join(blocks)]
+    x = " ".join([*rare, *blocks[5:], *blocks[:5]])
+    hist = spark.createDataFrame(list(enumerate(old)), "id long, text string")
+    h = history.History(spark)
+    h.begin(hist, "id")
+    batch = spark.createDataFrame([(1, 1, x), (2, 1, text(100))], "k long, batch int, text string")
+    assert alike(x, old[-1]) and {r[0] for r in history.refused(h, batch, "k", "batch").collect()} == {1}
+    h.drop()
+
+
+def test_history_reopens_in_another_session(spark, tmp_path):
+    old, path = corpus(30), f"file://{tmp_path}/history"
+    hist = spark.createDataFrame(list(enumerate(old)), "id long, text string")
+    a, b = text(50), text(70)
+    h = history.History(spark, path, buckets=4)
+    h.begin(hist, "id")
+    one = spark.createDataFrame([(1, 1, a), (2, 1, edited(old[0] + " " + old[1], 0.02))], "k long, batch int, text string")
+    assert history.refused(h, one, "k", "batch").count() == int(any(alike(r.text, o) for r in one.where("k = 2").collect() for o in old))
+    h.drop()
+    other = spark.newSession()
+    again = history.History(other, path)
+    assert again.buckets == 4
+    two = other.createDataFrame([(1, 2, edited(a, 0.05)), (2, 2, b), (3, 2, next(o for o in old if len(words(o)) >= 20))], "k long, batch int, text string")
+    assert {r[0] for r in history.refused(again, two, "k", "batch").collect()} == {1, 3}
+    assert again.records().select("origin").distinct().count() == 3
+    again.drop()
+
+
+def test_covered_words_never_exceed_shared_ones():
+    import numpy as np
+
+    pairs = [(text(80), edited(text(80), 0.1)) for _ in range(10)] + [(t, edited(t, 0.1)) for t in (text(90) for _ in range(10))]
+
+    def flat(side):
+        v = [np.array([(number(w) << 8) & (2**63 - 1) | 3 for w in words(p[side])], dtype=np.uint64) for p in pairs]
+        return np.concatenate(v), np.concatenate([[0], np.cumsum([len(x) for x in v])])
+
+    low, all_ = history.covered_words(*flat(0), *flat(1)), ordermin.shared_words(*flat(0), *flat(1))
+    assert (low <= all_).all() and (low[10:] > 20).all()
+
+
 def test_chunks_survive_edits():
     import numpy as np
 
     h = np.array([(number(w) << 8) & (2**63 - 1) | 3 for w in text(200).split()], dtype=np.uint64)
-    r, a, _ = history.chunk_hashes(h, np.array([0, 200]))
-    _, b, _ = history.chunk_hashes(np.concatenate([h[:90], h[91:]]), np.array([0, 199]))
+    r, a, *_ = history.chunk_hashes(h, np.array([0, 200]))
+    _, b, *_ = history.chunk_hashes(np.concatenate([h[:90], h[91:]]), np.array([0, 199]))
     assert len(set(a) - set(b)) <= 3 and len(a) > 20 and set(r) == {0}
 
 
