@@ -116,7 +116,7 @@ def test_near_pairs(spark):
     assert ordermin.all_pairs(*ordermin.near_pairs(df.limit(0), "k", "text")).count() == 0
 
 
-def test_order_counts_when_asked(spark):
+def test_order_is_part_of_a_sample():
     import numpy as np
 
     t = RNG.sample(VOCAB, 90)
@@ -124,10 +124,26 @@ def test_order_counts_when_asked(spark):
     r = h[::-1].copy()
     off = np.array([0, 90])
     same = ordermin.samples(h, off, k=1, ordered=False) == ordermin.samples(r, off, k=1, ordered=False)
-    ordered = ordermin.samples(h, off, k=1, ordered=True) == ordermin.samples(r, off, k=1, ordered=True)
+    ordered = ordermin.samples(h, off, k=1) == ordermin.samples(r, off, k=1)
     assert same.all() and not ordered.any()
 
 
+def test_hot_samples_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ordermin, "HOT", 8)
+    base = text(60)
+    texts = [edited(base, 0.04) for _ in range(60)] + corpus(20)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {tuple(r) for r in ordermin.all_pairs(*ordermin.near_pairs(df, "k", "text")).collect()}
+    assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and alike(a, b)}
+
+
+def test_one_very_long_text():
+    import numpy as np
+
+    h = np.arange(300_000, dtype=np.uint64) + np.uint64(9)
+    assert ordermin.samples(h, np.array([0, 0, 300_000]), sketches=4).shape == (2, 4)
+
+
 def test_banded_alignment():
     import numpy as np
 
