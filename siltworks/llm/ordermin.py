@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from siltworks.llm import words as W
 from siltworks.session import small, stored
 
-K, SAMPLED, SKETCHES, SEED = 3, 2, 32, 23
+K, SAMPLED, SKETCHES, SEED = 4, 2, 32, 23
 LEAST = 20
 #: Half width of the alignment's band, in words.
 BAND = 16
