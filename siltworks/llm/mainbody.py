@@ -1,28 +1,32 @@
 """Page boilerplate mixed with main content (problem 3).
 
-Line-block distribution. Markup is stripped, every line gets the length of its own text as weight, the weights are summed
-over a sliding window of lines, the sums' surge and dive points are located and the lines between them are kept.
+Line-block distribution. Markup is stripped, every line gets the length of its own text as weight, and the weights are
+summed over a sliding window of ``WINDOW`` lines. Where the sum of the lines ahead surges to ``SURGE`` the main body
+begins, where the sum of those behind dives below it the body ends; the lines that weigh anything in between are kept. A page that never
+reaches ``SURGE`` is read by half of its own highest sum.
 
 Plain lengths confuse short lines of an article (headings, list entries) with the menus round it and teasers with
 paragraphs. So a line weighs nothing if it is not the page's own text:
 
 * furniture: the line's template (digits and the site's name are slots) stands on a large share of the site's pages, or is
-  frequent on most of the sites that have it at all, or holds the site's name;
+  frequent on most of the sites that have it at all, or names the site and is not the only line of its template;
 * links: rows of entries between separators, paths, lines that are only a link;
-* teasers: after a line that announces them, lines in the form of page titles with at most a sentence each. What a page
-  title looks like, and which lines announce teasers, is counted over all pages.
+* teasers: after a line that announces them, lines in the form of page titles with at most a sentence each, and short
+  lines before the last one that precedes the text. What a page title looks like, and which lines announce teasers, is
+  counted over all pages.
 
-The counts cover all pages and are made by aggregation; a page is then read on its own. Null and empty texts have no
-lines; a page whose site is unknown is read by the counts over all sites.
+The counts cover all pages and are made by aggregation. Words and title forms are counted in ``BUCKETS`` buckets by hash,
+so the two models that every task gets have a fixed size; announcing lines are joined to the pages. A page is then read on
+its own. Null and empty texts have no lines; a page whose site is unknown is read by the counts over all sites.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,27 +35,29 @@ from pyspark.sql import functions as F
 from siltworks.llm import words as W
 from siltworks.session import small, stored
 
-#: Share of a site's pages; share of the pages of all sites that have a line; pages that a site needs; window in lines.
-SITE_SHARE, WIDE_SHARE, SITE_PAGES, WINDOW = 0.25, 0.12, 4, 5
-#: Count from which a word or form says anything, whatever the size of the table.
-FLOOR = 5
-#: Pages whose counts are held as Python objects at once.
-SLICE = 256
+#: Share of a site's pages; share of the pages of all sites that have a line; pages that a site needs.
+SITE_SHARE, WIDE_SHARE, SITE_PAGES = 0.25, 0.12, 4
+#: Window in lines; sum of a window from which it belongs to the body.
+WINDOW, SURGE = 7, 40
+#: Buckets of the two models; count from which a bucket says anything, whatever the size of the table.
+BUCKETS, FLOOR = 1 << 16, 5
 #: Mean log odds of its words from which a sentence is a notice.
 NOTICE = 1.0
 
-LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
-BULLET = re.compile(r"^\s*(?:[-*•·‣–+]|\d{1,3}[.)])\s+")
-PATH = re.compile(r"\S\s*[>›»→]\s+\S")
-ROW = re.compile(r"\s+[|·•/]\s+|\s{3,}|\t")
-WORDS = re.compile(r"[^\W\d_]{2,}")
-STOP = re.compile(r"[.!?…:;][\"”»“’)\]]*$")
+# Java's regular expressions of a line's parts
+_LINK, _BULLET = r"\[([^\]]*)\]\([^)]*\)", r"(?U)^\s*(?:[-*•·‣–+]|\d{1,3}[.)])\s+"
+_PATH, _ROW = r"(?U)\S\s*[>›»→]\s+\S", r"(?U)\s+[|·•/]\s+|\s{3,}|\t"
+_STOP, _SENTENCE = r"(?U)[.!?…:;][\"”»“’)\]]*$", r"(?U)[.!?…]+[\"”»“’)\]]*(?=\s+\S|$)"
+_WORD = r"\p{L}{2,}"
+_ENDS = r"(?U)^\s+|\s+$"
+FORM = re.compile(r"[^\W\d_]+")
 
 
 def template(line: Column, name: Column) -> Column:
     """A line with letter case, digits, link targets and the site's name set aside."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\]\([^)]*\)", "]()"), r"\p{Nd}+", "0")
-    return F.trim(F.when(F.length(name) > 3, F.regexp_replace(bare, F.array_join(F.split(name, ""), "[ -]?"), "<site>")).otherwise(bare))
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.array_join(F.split(name, ""), "[ -]?"), F.lit(r"(?![\p{L}\p{N}])"))
+    return F.trim(F.when(F.length(name) > 3, F.regexp_replace(bare, whole, "<site>")).otherwise(bare))
 
 
 def _pages(pages: DataFrame, files: DataFrame, key: str, file_key: str, text: str) -> DataFrame:
@@ -61,6 +67,33 @@ def _pages(pages: DataFrame, files: DataFrame, key: str, file_key: str, text: st
     return pages.where(F.col(key).isNotNull()).select(F.col(key).alias("page"), F.col(file_key).alias("_f"), F.col(text).alias("t")).join(small(of, 200), "_f", "left").drop("_f")
 
 
+def _read(line: Column) -> Column:
+    """(text, kind, sents, w) of a line: its text without markup, what its shape says, its sentences and the buckets of its words."""
+    raw = F.regexp_replace(line, _ENDS, "")
+    linked = F.contains(raw, F.lit("]("))
+    only = linked & raw.rlike(_LINK) & (F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, _BULLET, ""), _LINK, ""), r"^[ |·-]+|[ |·-]+$", "") == "")
+    plain = F.when(linked, F.regexp_replace(raw, _LINK, "$1")).otherwise(raw)
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, _BULLET, ""), "^#+", ""), _ENDS, "")
+
+    def kind(t: Column) -> Column:
+        cells = F.filter(F.split(t, _ROW), lambda c: c.rlike(r"(?U)\S"))
+        figures = F.exists(cells, lambda c: c.rlike(r"\p{Nd}") & ~c.rlike(r"\(\p{Nd}+\)"))
+        n, stop = F.length(t), t.rlike(_STOP)
+        return (
+            F.when((n < 160) & ~F.substring(t, -1, 1).isin(".", "!", "?") & t.rlike(_PATH), "path")
+            .when((F.size(cells) >= 3) & ~figures & (n / F.size(cells) < 40) & ~stop, "links")
+            .when(only, "link")
+            .when(F.size(cells) >= 2, "row")
+            .when(F.startswith(plain, F.lit("#")), "head")
+            .when(plain.rlike(_BULLET), "item")
+            .when(stop | (n > 110), "text")
+            .otherwise("short")
+        )
+
+    own = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))), lambda w: F.pmod(F.crc32(w), F.lit(BUCKETS)).cast("int"))
+    return F.struct(text.alias("text"), kind(text).alias("kind"), F.size(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))).alias("sents"), own.alias("w"))
+
+
 def _lines(p: DataFrame) -> DataFrame:
     """(page, host, copy, at, line, tpl, named) of the non-blank lines; copy: the same for the same text; named: the site's name is in it."""
     rows = p.select("page", "host", F.xxhash64("t").alias("copy"), F.posexplode(F.split("t", "\n")).alias("at", "line")).where(F.col("line").rlike(r"(?U)\S"))
@@ -70,12 +103,12 @@ def _lines(p: DataFrame) -> DataFrame:
 
 
 def _flagged(lines: DataFrame, size: DataFrame) -> DataFrame:
-    """(page, at, line, tpl, mark): arrays of each page's lines in order; mark 2: furniture of its site, 1: of many sites.
+    """(page, at, tpl, mark, text, kind, sents, w): arrays of each page's lines in order; mark 2: furniture of its site, 1: of many sites.
 
     size: (host, n), the distinct texts of each site; copies of a page count once.
     """
-    seen = lines.select("copy", "host", "tpl").distinct()
-    count = seen.groupBy("host", "tpl").agg(F.count("*").alias("k"))
+    seen = lines.select("copy", "host", "tpl", "named").distinct()
+    count = stored(seen.groupBy("host", "tpl").agg(F.count("*").alias("k"), F.max("named").alias("named")), "line-counts")
     size = stored(size, "site-sizes")
     share = stored(count.join(small(size, 80), "host").where("n >= %d" % SITE_PAGES).withColumn("share", F.col("k") / F.col("n")), "line-shares")
     often = (F.col("share") >= SITE_SHARE) & (F.col("k") >= 5) | (F.col("share") >= 2 * SITE_SHARE) & (F.col("k") >= 3)
@@ -83,44 +116,23 @@ def _flagged(lines: DataFrame, size: DataFrame) -> DataFrame:
     # an entry of a few sites' menus may be a heading elsewhere: most sites that have the line must have it often
     wide = share.where(F.col("n") >= 2 * SITE_PAGES).groupBy("tpl").agg(F.percentile_approx("share", 0.5).alias("middle"), (F.sum("k") / F.sum("n")).alias("pooled"), F.count("*").alias("sites"))
     wide = wide.where((F.col("sites") >= 2) & (F.col("middle") >= WIDE_SHARE) & (F.col("pooled") >= WIDE_SHARE)).select("tpl", F.lit(1).alias("wide"))
-    own, wide = stored(own, "site-furniture"), stored(wide, "wide-furniture")
+    # a line that names the site is furniture if others are like it
+    named = count.where("named").groupBy("tpl").agg(F.sum("k").alias("k")).where("k > 1").select("tpl", F.lit(2).alias("wide"))
+    own, wide = stored(own, "site-furniture"), stored(wide.unionByName(named).groupBy("tpl").agg(F.max("wide").alias("wide")), "wide-furniture")
     out = lines.join(small(own, 60), ["host", "tpl"], "left").join(small(wide, 24), "tpl", "left")
-    rows = out.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", "line", "tpl", F.coalesce("own", F.when(F.col("named"), 2), "wide", F.lit(0)).alias("mark")))).alias("rows"))
-    return stored(rows.select("page", *(F.col(f"rows.{c}").alias(c) for c in ("at", "line", "tpl", "mark"))), "page-lines")
+    mark = F.greatest(F.coalesce("own", F.lit(0)), F.coalesce("wide", F.lit(0)))
+    rows = out.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", "tpl", mark.alias("mark"), "line"))).alias("rows"))
+    rows = rows.select("page", F.transform("rows", lambda r: F.struct(r["at"].alias("at"), r["tpl"].alias("tpl"), r["mark"].alias("mark"), _read(r["line"]).alias("l"))).alias("rows"))
+    return stored(rows.select("page", *(F.col(f"rows.{c}").alias(c) for c in ("at", "tpl", "mark")), *(F.col(f"rows.l.{c}").alias(c) for c in ("text", "kind", "sents", "w"))), "page-lines")
 
 
 class Line:
-    """A line of a page: its text without markup and what its shape says."""
-
-    __slots__ = ("at", "text", "tpl", "mark", "kind", "links")
-
-    def __init__(self, at: int, line: str, tpl: int, mark: int):
-        self.at, self.tpl, self.mark = int(at), int(tpl), int(mark)
-        raw = line.strip()
-        linked = "](" in raw
-        self.links = linked and bool(LINK.search(raw)) and not LINK.sub("", BULLET.sub("", raw)).strip(" |·-")
-        text = LINK.sub(r"\1", raw) if linked else raw
-        bullet = bool(BULLET.match(text))
-        head = text.startswith("#")
-        self.text = BULLET.sub("", text).lstrip("#").strip()
-        cells = [c for c in ROW.split(self.text) if c.strip()]
-        digits = sum(any(ch.isdigit() for ch in c) and not re.search(r"\(\d+\)", c) for c in cells)
-        if len(self.text) < 160 and self.text[-1:] not in (".", "!", "?") and PATH.search(self.text):
-            self.kind = "path"
-        elif len(cells) >= 3 and not digits and len(self.text) / len(cells) < 40 and not STOP.search(self.text):
-            self.kind = "links"
-        elif self.links:
-            self.kind = "link"
-        elif len(cells) >= 2:
-            self.kind = "row"
-        elif head:
-            self.kind = "head"
-        elif bullet:
-            self.kind = "item"
-        elif STOP.search(self.text) or len(self.text) > 110:
-            self.kind = "text"
-        else:
-            self.kind = "short"
+    """A line of a page: its text without markup and what its shape says; score: mean log odds of its words as a notice."""
+
+    __slots__ = ("at", "text", "tpl", "mark", "kind", "sents", "score")
+
+    def __init__(self, at: int, tpl: int, mark: int, text: str, kind: str, sents: int, score: float = 0.0):
+        self.at, self.tpl, self.mark, self.text, self.kind, self.sents, self.score = at, tpl, mark, text, kind, sents, score
 
     @property
     def off(self) -> bool:
@@ -131,85 +143,61 @@ class Line:
         return not self.off and self.kind in ("short", "link", "head") and len(self.text) < 110
 
 
-def sentences(text: str) -> int:
-    return len(re.findall(r"[.!?…]+[\"”»“’)\]]*(?=\s+\S|$)", text))
-
-
 def announces(ls: list[Line], i: int) -> bool:
     """Whether two titles, or a title, a sentence and a title, follow line i."""
     kinds = ["t" if x.titled else "s" if x.kind == "text" and not x.off else "-" for x in ls[i + 1 : i + 4]]
     return "".join(kinds[:2]) == "tt" or "".join(kinds) == "tst"
 
 
-def form(text: str) -> list[str]:
-    """What is counted of a title or heading: its words and their places at the ends."""
-    w = re.findall(r"[^\W\d_]+", text.lower())
-    return [*w, *(("^" + w[0], "$" + w[-1], f"n{min(len(w), 8)}") if w else ()), ":" if ":" in text else "-"]
+def form(text: str) -> list[int]:
+    """What is counted of a title or heading, as buckets: its words, their places at the ends, their number."""
+    w = FORM.findall(text.lower())
+    parts = [*w, *(("^" + w[0], "$" + w[-1], f"n{min(len(w), 8)}") if w else ()), ":" if ":" in text else "-"]
+    return [zlib.crc32(x.encode()) % BUCKETS for x in parts]
 
 
-def observed(ls: list[Line]) -> Iterator[tuple[str, str, int, int]]:
-    """(what, key, yes, no) counts of a page: lines that announce teasers, forms of titles and headings, words of furniture and of articles."""
+def own_text(x: Line) -> bool:
+    return x.kind in ("item", "row") or x.kind == "text" and x.sents > 1
+
+
+def observed(ls: list[Line], forms: np.ndarray) -> Iterator[tuple[int, bool]]:
+    """(template, whether titles follow) of the furniture lines that may announce teasers; counts the forms of titles and headings in ``forms``."""
     for i, x in enumerate(ls):
-        own = x.kind in ("item", "row") or x.kind == "text" and sentences(x.text) > 1
-        if x.kind in ("text", "short") and x.mark == 2 or own and not x.mark:
-            for w in set(WORDS.findall(x.text.lower())):
-                yield "w", w, int(bool(x.mark)), int(not x.mark)
         if x.mark and x.kind in ("short", "head", "text"):
             yes = announces(ls, i)
-            yield "a", str(x.tpl), int(yes), int(not yes)
+            yield x.tpl, yes
             if yes and ls[i + 1].kind in ("short", "link"):
                 for w in form(ls[i + 1].text):
-                    yield "f", w, 1, 0
+                    forms[0, w] += 1
         if x.titled and x.kind != "link" and 0 < i < len(ls) - 1:
             a, b = ls[i - 1], ls[i + 1]
-            if not a.off and (a.kind in ("item", "row") or a.kind == "text" and sentences(a.text) > 1) and b.kind == "text" and not b.off:
+            if not a.off and own_text(a) and b.kind == "text" and not b.off:
                 for w in form(x.text):
-                    yield "f", w, 0, 1
-
-
-def asked(ls: list[Line]) -> set[tuple[str, str]]:
-    """(what, key) of all counts that ``article`` may want for a page."""
-    out = {("a", str(x.tpl)) for x in ls if x.kind in ("short", "head", "text")}
-    for x in ls:
-        if x.kind in ("short", "head", "link"):
-            out |= {("f", w) for w in form(x.text)}
-        if x.kind in ("short", "text"):
-            out |= {("w", w) for w in WORDS.findall(x.text.lower())}
-    return out
+                    forms[1, w] += 1
 
 
-class Odds:
-    """Log odds of two kinds of text by what was counted of each; ``default`` for what was never counted."""
+def odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of two kinds of text by bucket, from their counts (2, BUCKETS); 0 counts give the odds of the totals."""
+    total = counts.sum(axis=1)
+    return np.log((counts[0] + 0.5) / (total[0] + 1)) - np.log((counts[1] + 0.5) / (total[1] + 1))
 
-    def __init__(self, table: dict[str, tuple[int, int]], total: tuple[int, int]):
-        one = lambda y, n: math.log((y + 0.5) / (total[0] + 1)) - math.log((n + 0.5) / (total[1] + 1))
-        self.of, self.default = {w: one(y, n) for w, (y, n) in table.items()}, one(0, 0)
 
-    def title(self, text: str) -> float:
-        """That a short line has the form of a page title rather than of a heading inside an article."""
-        return sum(self.of.get(w, self.default) for w in form(text))
-
-    def notice(self, text: str) -> float:
-        """Mean over its known words that a sentence stands in furniture rather than in an article."""
-        w = [self.of[x] for x in set(WORDS.findall(text.lower())) if x in self.of]
-        return sum(w) / max(5, len(w))
-
-
-def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -> list[int]:
-    """Places of the lines that belong to the page's own article."""
+def article(ls: list[Line], announcers: set[int], titles: np.ndarray, window: int | None = None) -> list[int]:
+    """Places of the lines that belong to the page's own article. titles: log odds of the forms of titles."""
     solid = ("text", "item", "row")
+    title = lambda text: float(sum(titles[w] for w in form(text)))
     for i, x in enumerate(ls[1:-1], 1):
         # an entry of other sites' menus that heads a paragraph here
-        if x.mark == 1 and x.kind == "short" and str(x.tpl) not in announcers and not any(c.isdigit() for c in x.text):
+        if x.mark == 1 and x.kind == "short" and x.tpl not in announcers and not any(c.isdigit() for c in x.text):
             before, after = ls[i - 1], ls[i + 1]
-            if before.kind in solid and not before.off and after.kind in solid and not after.off and titles.title(x.text) < -1:
+            if before.kind in solid and not before.off and after.kind in solid and not after.off and title(x.text) < -1:
                 x.mark = 0
     for x in ls:
         # a notice that no other page has, told by its words
-        if not x.mark and (x.kind == "text" and len(x.text) > 60 or x.kind == "short" and len(x.text.split()) > 4) and notices.notice(x.text) > NOTICE:
+        if not x.mark and (x.kind == "text" and len(x.text) > 60 or x.kind == "short" and len(x.text.split()) > 4) and x.score > NOTICE:
             x.mark = 1
     zero = [x.off or x.kind == "link" or (x.kind == "text" and x.text.endswith("…")) for x in ls]
-    odds = [titles.title(x.text) if x.titled else -9.0 for x in ls]
+    odds = [title(x.text) if x.titled else -9.0 for x in ls]
     # a title has the form of one; among teasers, any short line that heads nothing is one
     heads = [i + 1 < len(ls) and ls[i + 1].kind in solid and not ls[i + 1].off for i in range(len(ls))]
     is_title = [x.titled and (x.kind == "link" or odds[i] > 0 or not heads[i]) for i, x in enumerate(ls)]
@@ -218,7 +206,7 @@ def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -
     title_at = None
     while i < len(ls):
         x = ls[i]
-        if str(x.tpl) in announcers and x.kind in ("short", "head", "text") and i + 1 < len(ls) and (is_title[i + 1] or ls[i + 1].kind == "link"):
+        if x.tpl in announcers and x.kind in ("short", "head", "text") and i + 1 < len(ls) and (is_title[i + 1] or ls[i + 1].kind == "link"):
             zero[i] = True
             j, last, excerpts = i + 1, None, 0
             style = ls[j].kind  # a title in another style is the article's own
@@ -226,9 +214,9 @@ def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -
             while teaser(j):
                 last = j
                 j += 1
-                if j < len(ls) and ls[j].kind == "text" and not ls[j].off and (ls[j].text.endswith("…") or sentences(ls[j].text) <= 2):
+                if j < len(ls) and ls[j].kind == "text" and not ls[j].off and (ls[j].text.endswith("…") or ls[j].sents <= 2):
                     then = teaser(j + 1)
-                    if sentences(ls[j].text) == 2 and not ls[j].text.endswith("…") and not (then and (ls[j + 1].kind == "link" or odds[j + 1] > 0)):
+                    if ls[j].sents == 2 and not ls[j].text.endswith("…") and not (then and (ls[j + 1].kind == "link" or odds[j + 1] > 0)):
                         break
                     if ls[j].text.endswith("…") or then or (excerpts and begun) or (last is not None and ls[last].kind == "link"):
                         excerpts += 1
@@ -249,81 +237,100 @@ def article(ls: list[Line], announcers: set[str], titles: Odds, notices: Odds) -
         i += 1
     weight = [0 if z else len(x.text) for x, z in zip(ls, zero, strict=True)]
 
-    # surge: the first line of real text; the block before it may hold the title. dive: the last block that holds text
-    body = [q for q, x in enumerate(ls) if weight[q] and x.kind == "text"]
-    if not body:
-        return [ls[q].at for q in range(len(ls)) if weight[q]]
-    block = [sum(weight[max(0, q - WINDOW // 2) : q + WINDOW // 2 + 1]) for q in range(len(ls))]
-    start = body[0]
-    if title_at is not None and title_at <= start:
-        start = title_at
+    first = next((q for q in range(len(ls)) if weight[q] and ls[q].kind == "text"), None)
+    if first is not None:
+        # of the short lines before the text only the last can be its title
+        own = title_at if title_at is not None and title_at <= first else next((q for q in range(first - 1, -1, -1) if weight[q]), first)
+        for q in range(own if own == title_at or ls[own].kind in ("short", "head") else first):
+            weight[q] = 0
+    return [ls[q].at for q in between(weight, WINDOW if window is None else window) if weight[q]]
+
+
+def between(weight: list[int], window: int) -> list[int]:
+    """Places between the surges and dives of the sums of ``weight`` over ``window`` lines: a surge is where the lines ahead reach ``SURGE``, a dive where those behind no longer do."""
+    w = np.asarray(weight, np.int64)
+    c = np.concatenate([[0], np.cumsum(w)])
+    at = np.arange(len(w))
+    ahead, behind = c[np.minimum(at + window, len(w))] - c[at], c[at + 1] - c[np.maximum(at + 1 - window, 0)]
+    level = min(SURGE, int(ahead.max(initial=0)) / 2)
+    inside = ((ahead >= level) | (behind >= level)) & (ahead + behind > 0)
+    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    return [q for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True) for q in range(a, b)]
+
+
+def _pages_of(b: pa.RecordBatch, notices: np.ndarray | None = None) -> Iterator[list[Line]]:
+    """The lines of each page of a batch (page, at, tpl, mark, text, kind, sents, w); notices: (2, BUCKETS) log odds and whether they are known."""
+    w = b.column(7).flatten()
+    if notices is None or not len(w):
+        score = np.zeros(len(w))
     else:
-        q = start - 1
-        while q >= 0 and zero[q]:
-            q -= 1
-        if q >= 0 and ls[q].kind in ("short", "head"):
-            start = q
-    end = body[-1]
-    q = end + 1
-    while q < len(ls) and block[q]:
-        if weight[q]:
-            end = q
-        q += 1
-    return [ls[q].at for q in range(start, end + 1) if weight[q]]
-
-
-def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_key: str = "file_id", text: str = "text") -> DataFrame:
+        off = w.offsets.to_numpy().astype(np.int64)
+        own = w.values.to_numpy()[off[0] : off[-1]]
+        known = np.concatenate([[0], np.cumsum(notices[1][own])])
+        sums = np.concatenate([[0], np.cumsum(notices[0][own] * notices[1][own])])
+        off = off - off[0]
+        score = (sums[off[1:]] - sums[off[:-1]]) / np.maximum(5, known[off[1:]] - known[off[:-1]])
+    flat = [b.column(j).flatten().to_pylist() for j in range(1, 7)]
+    lo = 0
+    for n in b.column(1).value_lengths().to_pylist():
+        yield [Line(*r) for r in zip(*(c[lo : lo + n] for c in flat), score[lo : lo + n].tolist(), strict=True)]
+        lo += n
+
+
+def _notice_counts(b: pa.RecordBatch, counts: np.ndarray) -> None:
+    """Add the words of a batch's furniture and of its articles to ``counts``."""
+    w = b.column(7).flatten()
+    if not len(w):
+        return
+    mark, sents = (b.column(j).flatten().to_numpy() for j in (3, 6))
+    kind = np.array(b.column(5).flatten().to_pylist())
+    lens, own = w.value_lengths().to_numpy(), w.flatten().to_numpy()
+    yes = np.isin(kind, ("text", "short")) & (mark == 2)
+    no = (np.isin(kind, ("item", "row")) | (kind == "text") & (sents > 1)) & (mark == 0)
+    for j, take in enumerate((yes, no)):
+        counts[j] += np.bincount(own[np.repeat(take, lens)], minlength=BUCKETS)
+
+
+def body_places(pages: DataFrame, files: DataFrame, key: str = "page_id", file_key: str = "file_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(``key``, line_no): the lines of each page that belong to its own article; lines are counted from 1."""
     own = _pages(pages, files, key, file_key, text)
     size = own.where(F.col("t").rlike(r"(?U)\S")).select(F.xxhash64("t").alias("copy"), "host").distinct().groupBy("host").agg(F.count("*").alias("n"))
     rows = _flagged(_lines(own), size)
 
-    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notice, forms = np.zeros((2, BUCKETS), np.int64), np.zeros((2, BUCKETS), np.int64)
+        out = pa.schema([("what", pa.string()), ("k", pa.int64()), ("yes", pa.int64()), ("no", pa.int64())])
         for b in batches:
-            seen: Counter[tuple[str, str]] = Counter()
-            for own in zip(b["at"], b["line"], b["tpl"], b["mark"], strict=True):
-                for what, k, yes, no in observed([Line(*r) for r in zip(*own, strict=True)]):
-                    seen[what, k] += yes + no * 1_000_000
-            yield pd.DataFrame([(w, k, v % 1_000_000, v // 1_000_000) for (w, k), v in seen.items()], columns=["what", "k", "yes", "no"])
-
-    counts = rows.mapInPandas(observe, "what string, k string, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+            _notice_counts(b, notice)
+            seen = pd.DataFrame([x for ls in _pages_of(b) for x in observed(ls, forms)], columns=["k", "yes"])
+            seen = seen.astype({"k": "int64", "yes": "int64"}).groupby("k")["yes"].agg(["sum", "count"]).reset_index()
+            yield pa.RecordBatch.from_pydict({"what": ["a"] * len(seen), "k": seen["k"], "yes": seen["sum"], "no": seen["count"] - seen["sum"]}, out)
+        for what, c in (("w", notice), ("f", forms)):
+            at = np.flatnonzero(c.any(axis=0))
+            yield pa.RecordBatch.from_pydict({"what": [what] * len(at), "k": at, "yes": c[0, at], "no": c[1, at]}, out)
+
+    counts = rows.mapInArrow(observe, "what string, k long, yes long, no long").groupBy("what", "k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     counts = stored(counts, "page-forms")
+    models = {"w": np.zeros((2, BUCKETS), np.int64), "f": np.zeros((2, BUCKETS), np.int64)}
+    for r in counts.where("what <> 'a'").toLocalIterator():  # at most two rows a bucket
+        models[r.what][:, r.k] = r.yes, r.no
+    titles = odds(models["f"])
+    notices = np.stack([odds(models["w"]), (models["w"].sum(axis=0) >= FLOOR).astype(float)])
 
-    def total(what: str) -> tuple[int, int]:
-        whole = counts.where(F.col("what") == what).agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0))).first()
-        return int(whole[0]), int(whole[1])
-
-    totals = {what: total(what) for what in "fw"}
-
-    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for lo in range(0, len(whole), SLICE):
-                b = whole.iloc[lo : lo + SLICE]
-                own = zip(b["at"], b["line"], b["tpl"], b["mark"], strict=True)
-                out = [(p, w, k) for p, x in zip(b["page"], own, strict=True) for w, k in asked([Line(*r) for r in zip(*x, strict=True)])]
-                yield pd.DataFrame(out, columns=["page", "what", "k"]).astype({"page": whole["page"].dtype})
-
-    kind = pages.schema[key].dataType.simpleString()
-    known = F.when(F.col("what") == "a", (F.col("yes") >= 3) & (F.col("yes") >= F.col("no"))).otherwise(F.col("yes") + F.col("no") >= FLOOR)
-    asks = rows.mapInPandas(needed, f"page {kind}, what string, k string")
-    told = asks.join(small(stored(counts.where(known), "known-forms"), 200), ["what", "k"]).groupBy("page").agg(F.collect_list(F.struct("what", "k", "yes", "no")).alias("told"))
-    told = rows.join(told, "page", "left").select("page", "at", "line", "tpl", "mark", *(F.coalesce(F.col(f"told.{c}"), F.array()).alias(c) for c in ("what", "k", "yes", "no")))
+    known = stored(counts.where((F.col("what") == "a") & (F.col("yes") >= 3) & (F.col("yes") >= F.col("no"))).select(F.col("k").alias("tpl")), "announcing-lines")
+    told = rows.select("page", F.explode(F.array_distinct("tpl")).alias("tpl")).join(small(known, 24), "tpl", "left_semi").groupBy("page").agg(F.collect_list("tpl").alias("announcers"))
+    told = rows.join(told, "page", "left").select(*rows.columns, F.coalesce("announcers", F.array().cast("array<long>")).alias("announcers"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                b = whole.slice(lo, SLICE)
-                keys, places = [], []
-                for i, (at, line, tpl, mark, what, k, yes, no) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
-                    of: dict[str, dict[str, tuple[int, int]]] = {"a": {}, "f": {}, "w": {}}
-                    for w, x, y, n in zip(what, k, yes, no, strict=True):
-                        of[w][x] = (y, n)
-                    ls = [Line(*r) for r in zip(at, line, tpl, mark, strict=True)]
-                    own = [q + 1 for q in article(ls, set(of["a"]), Odds(of["f"], totals["f"]), Odds(of["w"], totals["w"]))]
-                    keys += [i] * len(own)
-                    places += own
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(places, pa.int32())], names=["page", "line_no"])
+        for b in batches:
+            keys, places = [], []
+            for i, (ls, announcers) in enumerate(zip(_pages_of(b, notices), b.column(8).to_pylist(), strict=True)):
+                own = [q + 1 for q in article(ls, set(announcers), titles, window)]
+                keys += [i] * len(own)
+                places += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(places, pa.int32())], names=["page", "line_no"])
 
+    kind = pages.schema[key].dataType.simpleString()
     return told.mapInArrow(pick, f"page {kind}, line_no int").withColumnRenamed("page", key).distinct()
 
 
