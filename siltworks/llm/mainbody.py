@@ -67,31 +67,46 @@ def _pages(pages: DataFrame, files: DataFrame, key: str, file_key: str, text: st
     return pages.where(F.col(key).isNotNull()).select(F.col(key).alias("page"), F.col(file_key).alias("_f"), F.col(text).alias("t")).join(small(of, 200), "_f", "left").drop("_f")
 
 
-def _read(line: Column) -> Column:
-    """(text, kind, sents, w) of a line: its text without markup, what its shape says, its sentences and the buckets of its words."""
-    raw = F.regexp_replace(line, _ENDS, "")
-    linked = F.contains(raw, F.lit("]("))
-    only = linked & raw.rlike(_LINK) & (F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, _BULLET, ""), _LINK, ""), r"^[ |·-]+|[ |·-]+$", "") == "")
-    plain = F.when(linked, F.regexp_replace(raw, _LINK, "$1")).otherwise(raw)
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, _BULLET, ""), "^#+", ""), _ENDS, "")
-
-    def kind(t: Column) -> Column:
-        cells = F.filter(F.split(t, _ROW), lambda c: c.rlike(r"(?U)\S"))
-        figures = F.exists(cells, lambda c: c.rlike(r"\p{Nd}") & ~c.rlike(r"\(\p{Nd}+\)"))
-        n, stop = F.length(t), t.rlike(_STOP)
-        return (
-            F.when((n < 160) & ~F.substring(t, -1, 1).isin(".", "!", "?") & t.rlike(_PATH), "path")
-            .when((F.size(cells) >= 3) & ~figures & (n / F.size(cells) < 40) & ~stop, "links")
-            .when(only, "link")
-            .when(F.size(cells) >= 2, "row")
-            .when(F.startswith(plain, F.lit("#")), "head")
-            .when(plain.rlike(_BULLET), "item")
-            .when(stop | (n > 110), "text")
+def _read(rows: Column) -> Column:
+    """Of an array of (at, tpl, mark, line): what each line says; its text without markup, its kind, its sentences, the buckets of its words.
+
+    Each step is bound before the next one uses it, so no expression is worked out twice.
+    """
+    keep = lambda r: [r[c].alias(c) for c in ("at", "tpl", "mark")]
+    raw = F.transform(rows, lambda r: F.struct(*keep(r), F.regexp_replace(r["line"], _ENDS, "").alias("raw")))
+
+    def markup(r: Column) -> Column:
+        linked = F.contains(r["raw"], F.lit("]("))
+        only = linked & r["raw"].rlike(_LINK) & (F.regexp_replace(F.regexp_replace(F.regexp_replace(r["raw"], _BULLET, ""), _LINK, ""), r"^[ |·-]+|[ |·-]+$", "") == "")
+        return F.struct(*keep(r), only.alias("only"), F.when(linked, F.regexp_replace(r["raw"], _LINK, "$1")).otherwise(r["raw"]).alias("plain"))
+
+    def text(r: Column) -> Column:
+        bare = F.regexp_replace(r["plain"], _BULLET, "")
+        own = F.regexp_replace(F.regexp_replace(bare, "^#+", ""), _ENDS, "")
+        return F.struct(*keep(r), r["only"].alias("only"), F.startswith(r["plain"], F.lit("#")).alias("head"), (bare != r["plain"]).alias("bullet"), own.alias("text"))
+
+    def cells(r: Column) -> Column:
+        own = F.filter(F.split(r["text"], _ROW), lambda c: c.rlike(r"(?U)\S"))
+        return F.struct(r.alias("r"), own.alias("cells"), F.length(r["text"]).alias("n"))
+
+    def kind(c: Column) -> Column:
+        r, n, k = c["r"], c["n"], F.size(c["cells"])
+        figures = F.exists(c["cells"], lambda x: x.rlike(r"\p{Nd}") & ~x.rlike(r"\(\p{Nd}+\)"))
+        shape = (
+            F.when((n < 160) & ~F.substring(r["text"], -1, 1).isin(".", "!", "?") & r["text"].rlike(_PATH), "path")
+            .when((k >= 3) & (n / k < 40) & ~figures & ~r["text"].rlike(_STOP), "links")
+            .when(r["only"], "link")
+            .when(k >= 2, "row")
+            .when(r["head"], "head")
+            .when(r["bullet"], "item")
+            .when((n > 110) | r["text"].rlike(_STOP), "text")
             .otherwise("short")
         )
+        sents = F.size(F.regexp_extract_all(r["text"], F.lit(_SENTENCE), F.lit(0)))
+        w = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(r["text"]), F.lit(_WORD), F.lit(0))), lambda x: F.pmod(F.crc32(x), F.lit(BUCKETS)).cast("int"))
+        return F.struct(*keep(r), r["text"].alias("text"), shape.alias("kind"), sents.alias("sents"), w.alias("w"))
 
-    own = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))), lambda w: F.pmod(F.crc32(w), F.lit(BUCKETS)).cast("int"))
-    return F.struct(text.alias("text"), kind(text).alias("kind"), F.size(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))).alias("sents"), own.alias("w"))
+    return F.transform(F.transform(F.transform(F.transform(raw, markup), text), cells), kind)
 
 
 def _lines(p: DataFrame) -> DataFrame:
@@ -122,8 +137,8 @@ def _flagged(lines: DataFrame, size: DataFrame) -> DataFrame:
     out = lines.join(small(own, 60), ["host", "tpl"], "left").join(small(wide, 24), "tpl", "left")
     mark = F.greatest(F.coalesce("own", F.lit(0)), F.coalesce("wide", F.lit(0)))
     rows = out.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", "tpl", mark.alias("mark"), "line"))).alias("rows"))
-    rows = rows.select("page", F.transform("rows", lambda r: F.struct(r["at"].alias("at"), r["tpl"].alias("tpl"), r["mark"].alias("mark"), _read(r["line"]).alias("l"))).alias("rows"))
-    return stored(rows.select("page", *(F.col(f"rows.{c}").alias(c) for c in ("at", "tpl", "mark")), *(F.col(f"rows.l.{c}").alias(c) for c in ("text", "kind", "sents", "w"))), "page-lines")
+    rows = rows.select("page", _read(F.col("rows")).alias("rows"))
+    return stored(rows.select("page", *(F.col(f"rows.{c}").alias(c) for c in ("at", "tpl", "mark", "text", "kind", "sents", "w"))), "page-lines")
 
 
 class Line:
