@@ -349,6 +349,26 @@ def test_scans(spark):
     assert scans.Scans(df.limit(0)).found().count() == 0
 
 
+def test_scans_without_page_and_with_gaps(spark):
+    body = "the night porter must lock bath trap before dusk and report on grain hopper at once".split()
+    page = lambda *own: "\n".join([*own, *(" ".join(RNG.choices(body, k=7)) for _ in range(9))])
+    data = [(1, "f", 1, page() + "\nreport on gra-"), (2, "f", 4, page("in hopper at once")), (3, "f", None, page("alone it stands")), (4, "f", None, page("alone again")), (5, None, None, page("no file at all"))]
+    df = spark.createDataFrame(data, "scan_id long, file_id string, page_no int, text string")
+    s = scans.Scans(df)
+    assert (1, 10, "split", "grain") in {tuple(r) for r in s.found().collect()}
+    flow = s.paragraphs().collect()
+    assert sorted(len(r.text.split()) for r in flow if r.page is not None) == [sum(len(t.split()) for _, _, p, t in data if p) - 1]
+    assert sorted(r.text.split()[1] for r in flow if r.page is None) == ["again", "file", "it"]
+
+
+def test_exchanges_are_learned(spark):
+    vocab = [a + b + c + d for a in "bdgkp" for b in "aou" for c in ("mes", "tev", "den", "zeg") for d in ("or", "an")]
+    counts = [(w, 40) for w in vocab] + [(w.replace("e", "c"), 1) for w in vocab[::3]] + [(w.replace("m", "rn"), 2) for w in vocab if "m" in w] + [("bozegax", 1)]
+    got = {(r.a, r.b) for r in scans.exchanges(spark.createDataFrame(counts, "w string, n long")).collect()}
+    assert got == {("c", "e"), ("rn", "m")}
+    assert scans.exchanges(spark.createDataFrame([], "w string, n long")).count() == 0
+
+
 def test_paragraph_over_a_block_of_pages(spark):
     data = [(p, "f", p, text(30)) for p in range(scans.BLOCK - 2, scans.BLOCK + 3)]
     df = spark.createDataFrame(data, "scan_id long, file_id string, page_no int, text string")
