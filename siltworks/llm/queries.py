@@ -87,8 +87,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.when(F.col("lost"), F.lit("")).otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with their restored text and the characters in it that are lost for good."""
+    r = encoding.repair(_t(spark, d, "documents"))
+    return r.select("doc_id", "lost", (F.length("restored") - F.length(F.replace("restored", F.lit(encoding.LOST), F.lit("")))).alias("gaps"), "restored")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:

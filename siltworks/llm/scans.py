@@ -71,10 +71,11 @@ def _lines(rows: DataFrame) -> DataFrame:
     """One row for each scan with arrays of its non-blank lines: place, text, template, ending (hashes), number alone, plain number, no sentence's end."""
     own = F.filter(F.transform(F.split(F.coalesce("t", F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("text"))), lambda r: r["text"].rlike(r"(?U)\S"))
     told = F.transform(own, lambda r: F.struct(r.alias("r"), folded(r["text"]).alias("tpl")))
+    told = F.transform(told, lambda x: F.struct(x["r"].alias("r"), x["tpl"].alias("tpl"), F.when(F.length(x["r"]["text"]) < BRIEF, ending(x["tpl"])).alias("tail")))
     full = F.transform(
         told,
         lambda x: F.struct(
-            x["r"]["no"].alias("no"), x["r"]["text"].alias("text"), F.xxhash64(x["tpl"]).alias("tpl"), F.xxhash64(ending(x["tpl"])).alias("tail"), ((F.length(x["r"]["text"]) < BRIEF) & ending(x["tpl"]).isNotNull()).alias("ends"),
+            x["r"]["no"].alias("no"), x["r"]["text"].alias("text"), F.xxhash64(x["tpl"]).alias("tpl"), F.xxhash64(x["tail"]).alias("tail"), x["tail"].isNotNull().alias("ends"),
             (F.contains(x["tpl"], F.lit("#")) & ~x["tpl"].rlike(r"\p{L}")).alias("number"), (x["tpl"] == "#").alias("plain"), (~x["r"]["text"].rlike(r"(?U)[.,;]\s*$")).alias("head"),
         ),
     )

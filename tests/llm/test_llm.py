@@ -482,6 +482,24 @@ def test_encoding(spark):
     assert encoding.repair(df.limit(0)).count() == 0
 
 
+def test_lost_bytes(spark):
+    clean = ["Die Gärtnerin schützt die Kühlräume täglich.", "El Índice está aquí.", "Смешайте воду и проверяйте ловушки каждое утро."]
+    docs = [(i, clean[i % 3]) for i in range(90)]
+    t = clean[0]
+    utf = lambda s: "".join(c if ord(c) < 128 else encoding.LOST * len(c.encode()) for c in s)
+    damaged = {
+        900: (t.replace("ü", encoding.LOST), t),  # one mark a letter
+        901: (utf(t), t),  # one mark a byte of UTF-8
+        902: ("".join(bytes([b]).decode("cp1252", "replace") for b in "El Índice".encode()), "El Índice"),  # garbled and lost in one word
+        903: (clean[2].replace("проверяйте", "прове" + encoding.LOST + "яйте"), clean[2]),
+        904: ("Xq" + encoding.LOST + "zv " + encoding.LOST, "Xq" + encoding.LOST + "zv " + encoding.LOST),
+        905: (encoding.LOST * 3000, encoding.LOST * 3000),
+    }
+    df = spark.createDataFrame(docs + [(k, a) for k, (a, _) in damaged.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.restored, r.lost) for r in encoding.repair(df).collect()}
+    assert got == {k: (b, True) for k, (_, b) in damaged.items()}
+
+
 # ---- all ---------------------------------------------------------------------------------------------------------------
 
 
