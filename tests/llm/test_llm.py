@@ -100,6 +100,15 @@ def test_template_slots(spark):
     assert got["by the red team"] == ("by the <*> team", 6) and got["by the way out"] == ("by the way out", 1)
 
 
+def test_bylines_that_differ_in_a_name_are_removed(spark):
+    chunks = [(k, "a", "\n".join([f"Words of {VOCAB[k]} and {VOCAB[k + 50]}", f"Written by {VOCAB[k]} for this page", text(12)])) for k in range(30)]
+    c = spark.createDataFrame(chunks, "chunk_key long, file_id string, text string")
+    f = spark.createDataFrame([("a", "https://one.example")], FILES)
+    assert templates.repeated_places(c, f).count() == 0
+    clean = {r.chunk_key: r.clean_text.split("\n") for r in templates.without_repeated(c, f).collect()}
+    assert all(clean[k] == [t.split("\n")[0], t.split("\n")[2]] for k, _, t in chunks)
+
+
 # ---- 2 -----------------------------------------------------------------------------------------------------------------
 
 
