@@ -128,45 +128,6 @@ def safe_path(s: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r'[<>:"|?*\x00-\x1f]', "_"), r"^\.", "_.")), "/")
 
 
-def definition_subject(q: Column) -> Column:
-    """What a question for a definition is about, or null."""
-    t = squeeze(q)
-    one = F.regexp_extract(t, r"(?i)^(?:what is|what's|whats|what are|define|definition of|meaning of)\s+(.+)$", 1)
-    subject = F.regexp_replace(strip(one), r"^[?.!,:;]+|[?.!,:;]+$", "")
-    return F.when((subject != "") & (F.lower(squeeze(subject)) != F.lower(t)), subject)
-
-
-def refers_back(q: Column) -> Column:
-    """Whether a text holds a word that refers to something said before."""
-    # Fixed values.
-    return F.lower(squeeze(q)).rlike(r"\b(?:it|its|they|them|their|this|that|these|those|former|latter|same)\b")
-
-
-def follow_up(q: Column) -> Column:
-    """Whether a question can only be understood from the ones before it."""
-    t = squeeze(q)
-    low = F.lower(t)
-    subject = definition_subject(q)
-    n = F.size(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))
-    # Fixed values.
-    asked = "(?:features|benefits|uses|applications|ingredients|symptoms|dosage|side effects)"
-    opens = low.rlike(r"^(?:(?:and|also|then)\b|(?:what|how)\s+about\b|more\b|(?:tell me|explain)\s+more\b)")
-    short = (n <= 8) & ~F.contains(low, F.lit(" of ")) & low.rlike(rf"^(?:(?:what|which)\s+(?:are|is)|list|tell me|show me)\s+(?:the\s+)?{asked}\b")
-    return (
-        F.when(low == "", False)
-        .when(subject.isNotNull() & ~refers_back(subject), False)
-        .when(refers_back(q) | opens, True)
-        .when((n <= 4) & F.contains(t, F.lit("?")), True)
-        .otherwise(short)
-    )
-
-
-def definition_variants(q: Column) -> Column:
-    """The searches to try for a definition."""
-    s = definition_subject(q)
-    return F.when(s.isNotNull(), F.array_distinct(F.array(squeeze(s), squeeze(F.concat(s, F.lit(" definition")))))).otherwise(F.array().cast("array<string>"))
-
-
 def clean_query(q: Column) -> Column:
     """A rewritten query without its label and quotes."""
     return F.regexp_replace(F.regexp_replace(squeeze(q), r"(?i)^(?:standalone|rewritten|resolved)\s+query\s*:\s*", ""), "^[ \"']+|[ \"']+$", "")
@@ -177,22 +138,6 @@ def last_question(prompt: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(prompt, F.lit(r"(?im)^Question:[ \t]*(.+?)[ \t]*$"), F.lit(1)), F.lit(-1))
 
 
-def low_signal(s: Column) -> Column:
-    """Whether a chunk says too little to answer from; true for null."""
-    t = squeeze(s)
-    low = F.lower(t)
-    # Fixed values.
-    return (
-        (t == "")
-        | F.contains(low, F.lit("[no extractable text]"))
-        | (F.contains(low, F.lit("html document")) & F.contains(low, F.lit("format")))
-        | F.contains(low, F.lit("optional cookies"))
-        | ((F.length(t) < 300) & F.startswith(t, F.lit("#")))
-        | F.startswith(t, F.lit("## content #"))
-        | ((F.length(t) < 70) & ~F.contains(t, F.lit(".")))
-    )
-
-
 def contains_any(s: Column, terms: list[str]) -> Column:
     """Whether any of the terms stands in a text, without case."""
     low = F.lower(squeeze(s))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,37 +58,39 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, threshold: float |
     return hit.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_batch(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.35, id_col: str = "vec_id", vec: str = "embedding", block: int = 256) -> DataFrame:
+def top_k_batch(points: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.35, id_col: str = "vec_id", vec: str = "embedding", block: int = 1024) -> DataFrame:
     """(query_id, ``id_col``, score, rank): the ``k`` best points of each query, exact.
 
-    Queries go out in blocks of ``block`` and meet every partition of points in one matrix product; each Arrow batch keeps
-    its ``k`` best for a query, so what is shuffled is at most k rows a query and batch. ``queries``: (query_id, vector).
+    Queries and points are packed into rows of about ``block`` vectors by hash; every pack of points goes to every block of
+    queries by its number, where the two meet in one matrix product that keeps the ``k`` best of a pack for each query. So
+    neither side passes the driver, the plan is the same for any number of queries, and what is ranked is at most k rows a
+    query and pack. Vectors of another length than the query's, null vectors and null ids are never hits. ``queries``:
+    (query_id, vector).
     """
     asked = queries.where("vector is not null and query_id is not null")
-    blocks = max(1, -(-asked.count() // block))
-    packs = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-
-    out = None
-    for pack in packs.toLocalIterator():  # a block of queries at a time, never all
-        ids = np.array([q["query_id"] for q in pack["qs"]])
-        m = np.array([q["vector"] for q in pack["qs"]], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def over(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, m: np.ndarray = m) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b[b["v"].map(lambda v: v is not None and len(v) == m.shape[1])]
-                if not len(b):
-                    continue
-                x = np.stack(b["v"].to_numpy()).astype(np.float64)
-                s = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                own = b["i"].to_numpy()
-                rows = [(ids[q], own[p], s[q, p]) for q in range(len(ids)) for p in np.lexsort((own, -s[q]))[:k] if s[q, p] >= threshold]
-                yield pd.DataFrame(rows, columns=["query_id", "i", "score"])
-
-        hit = points.select(F.col(id_col).alias("i"), F.col(vec).alias("v")).mapInPandas(over, "query_id long, i long, score double")
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        out = points.select(F.lit(0).cast("long").alias("query_id"), F.col(id_col).alias("i"), F.lit(0.0).alias("score")).limit(0)
+    kept = points.where(F.col(vec).isNotNull() & F.col(id_col).isNotNull())
+    blocks, parts = (max(1, -(-df.count() // block)) for df in (asked, kept))
+    left = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("i"), F.col("vector").cast("array<double>").alias("v"))).alias("qs"))
+    packs = kept.groupBy(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(parts)).alias("_p")).agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v"))).alias("ps"))
+    both = packs.select("ps", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).join(left, "_b")
+
+    def unit(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [r for r in rows if len(r["v"]) == width]
+        m = np.array([r["v"] for r in own], dtype=np.float64).reshape(len(own), width)
+        return np.array([r["i"] for r in own], dtype=np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                qs, ps = b.column(0)[at].as_py(), b.column(1)[at].as_py()
+                rows: list[tuple[int, int, float]] = []
+                for width in {len(q["v"]) for q in qs}:
+                    (ids, m), (own, x) = unit(qs, width), unit(ps, width)
+                    s = m @ x.T
+                    rows += [(int(ids[q]), int(own[p]), float(s[q, p])) for q in range(len(ids)) for p in np.lexsort((own, -s[q]))[:k] if s[q, p] >= threshold]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "i", "score"])
+
+    out = both.select("qs", "ps").mapInArrow(over, "query_id long, i long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "i")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("i").alias(id_col), "score", "rank")
 
@@ -101,10 +103,15 @@ def context_lines(hits: DataFrame, by: str, text: str = "text", rank: str = "ran
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(``key``, dense, sparse): unit vectors of hashed words, the offline stand-in for a model; sparse is always empty."""
+    """(``key``, dense, sparse): unit vectors of hashed words, the offline stand-in for a model; sparse is always empty.
+
+    Each row is worked out on its own, without a shuffle; rows that repeat a key stay apart. Null and empty texts have the zero vector.
+    """
     w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    spots = F.transform(w, lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(size)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    one = df.select(F.col(key), F.explode_outer(spots).alias("p")).groupBy(key, "p.i").agg(F.sum("p.s").alias("s"))
-    arr = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "s")))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0)).cast("float"))
-    return arr.select(key, dense.alias("dense"), F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<float>").alias("values")).alias("sparse"))
+    spots = F.array_sort(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(size)) * 2 + F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2))))
+    n = lambda v: F.size(F.filter("_w", lambda x: x == v))
+    own = df.select(F.col(key), spots.alias("_w")).select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (n(i * 2) - n(i * 2 + 1)).cast("double")).alias("_d"))
+    norm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda s, x: s + x * x))
+    own = own.select(key, "_d", norm.alias("_n"))
+    dense = F.transform("_d", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)).cast("float"))
+    return own.select(key, dense.alias("dense"), F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<float>").alias("values")).alias("sparse"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from siltworks.functions import ids, jsonops, markup, text, urls
 from siltworks.operators import chunking, conversation, listing, metrics, pages, payload, rows, search, store
 from siltworks.operators.neighbours import with_previous
-from siltworks.session import small, stored
+from siltworks.session import scratch, small, stored
+from siltworks.sources import files, jsonfiles, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -25,10 +26,6 @@ strip_ = lambda x: f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"  # noqa: E
 squeeze_ = lambda x: strip_(f"regexp_replace(coalesce({x}, ''), '{_SP}+', ' ', 'g')")
 tokens_ = lambda x: f"(CASE WHEN length(coalesce({x}, '')) = 0 THEN 0 ELSE greatest(1, length({x}) // 4) END)::INT"
 words_ = lambda x: f"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
-low_signal_ = lambda t: (
-    f"({t} = '' OR lower({t}) LIKE '%[no extractable text]%' OR (lower({t}) LIKE '%html document%' AND lower({t}) LIKE '%format%') OR lower({t}) LIKE '%optional cookies%'"
-    f" OR {t} LIKE '## content #%' OR (length({t}) < 300 AND {t} LIKE '#%') OR (length({t}) < 70 AND NOT contains({t}, '.')))"
-)
 
 
 def uuid5_(x: str, namespace: str) -> str:
@@ -154,44 +151,6 @@ def repeating_zone(spark: SparkSession, d: str) -> DataFrame:
     return n.join(pages, "file_id").where(F.col("n") >= F.greatest(F.lit(2), 0.5 * F.col("pages"))).drop("pages")
 
 
-@query(f"SELECT chunk_key, {low_signal_('t')} AS low FROM (SELECT chunk_key, {squeeze_('text')} AS t FROM chunk_results)")
-def low_signal(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "chunk_results").select("chunk_key", text.low_signal(F.col("text")).alias("low"))
-
-
-@query(f"""
-SELECT file_id, round(max(score) + 0.03 * count(*) FILTER (WHERE NOT low) - CASE WHEN arg_min(low, chunk_key) THEN 0.05 ELSE 0 END, 6) AS answerable
-FROM (SELECT file_id, chunk_key, score, {low_signal_('t')} AS low FROM (SELECT file_id, chunk_key, score, {squeeze_('text')} AS t FROM chunk_results WHERE file_id IS NOT NULL AND score IS NOT NULL)) GROUP BY file_id
-""")
-def answerability(spark: SparkSession, d: str) -> DataFrame:
-    c = t(spark, d, "chunk_results").where("file_id is not null and score is not null").select("file_id", "chunk_key", "score", text.low_signal(F.col("text")).alias("low"))
-    one = c.groupBy("file_id").agg(F.max("score").alias("top"), F.count_if(~F.col("low")).alias("n"), F.min_by("low", "chunk_key").alias("first"))
-    return one.select("file_id", F.round(F.col("top") + 0.03 * F.col("n") - F.when(F.col("first"), 0.05).otherwise(0.0), 6).alias("answerable"))
-
-
-_Q = squeeze_("text")
-_SUBJ = "regexp_replace(" + strip_(f"regexp_extract({_Q}, '(?i)^(?:what is|what''s|whats|what are|define|definition of|meaning of)\\s+(.+)$', 1)") + ", '^[?.!,:;]+|[?.!,:;]+$', '', 'g')"
-_BACK = "'\\b(?:it|its|they|them|their|this|that|these|those|former|latter|same)\\b'"
-
-
-@query(f"""
-SELECT item_id, CASE WHEN subj <> '' AND lower(subj) <> low THEN subj END AS subject, regexp_matches(low, {_BACK}) AS refers,
-  CASE WHEN low = '' THEN false WHEN subj <> '' AND lower(subj) <> low AND NOT regexp_matches(lower(subj), {_BACK}) THEN false
-  WHEN regexp_matches(low, {_BACK}) OR regexp_matches(low, '^(?:(?:and|also|then)\\b|(?:what|how)\\s+about\\b|more\\b|(?:tell me|explain)\\s+more\\b)') THEN true
-  WHEN n <= 4 AND contains(q, '?') THEN true
-  ELSE n <= 8 AND NOT contains(low, ' of ') AND regexp_matches(low, '^(?:(?:what|which)\\s+(?:are|is)|list|tell me|show me)\\s+(?:the\\s+)?(?:features|benefits|uses|applications|ingredients|symptoms|dosage|side effects)\\b') END AS follow_up,
-  n < 5 OR len(list_intersect(regexp_extract_all(low, '[a-z0-9]+'), ['it','its','they','them','this','that','these','those','he','she'])) > 0 AS rewrite
-FROM (SELECT item_id, {_Q} AS q, lower({_Q}) AS low, {_SUBJ} AS subj, len(regexp_extract_all(lower({_Q}), '[a-z0-9]+')) AS n FROM eval_items)
-""")
-def question_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """What each question is about, whether it refers back, follows up or must be rewritten."""
-    q = F.col("text")
-    w = F.regexp_extract_all(F.lower(text.squeeze(q)), F.lit("[a-z0-9]+"), F.lit(0))
-    # Fixed values.
-    pronouns = F.array(*map(F.lit, ("it", "its", "they", "them", "this", "that", "these", "those", "he", "she")))
-    return t(spark, d, "eval_items").select("item_id", text.definition_subject(q).alias("subject"), text.refers_back(q).alias("refers"), text.follow_up(q).alias("follow_up"), ((F.size(w) < 5) | F.arrays_overlap(w, pronouns)).alias("rewrite"))
-
-
 # ---- ids -------------------------------------------------------------------------------------------------------------
 
 _SCOPE = "concat_ws('|', nullif(f, ''))"
@@ -321,15 +280,39 @@ def json_path(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT user_id, json_extract_string(props, '$.k')::INT AS k, count(*)::BIGINT AS n FROM events WHERE event_type <> 'view' GROUP BY ALL")
+@query("SELECT user_id, json_extract_string(props, '$.k')::INT AS k, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def json_envelope(spark: SparkSession, d: str) -> DataFrame:
     """Responses with records under a known key, unwrapped again: one response for each user, type and hour."""
-    e = t(spark, d, "events").where("event_type <> 'view'")
+    e = t(spark, d, "events")
     page = e.groupBy("user_id", "event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.to_json(F.struct(F.lit("ok").alias("status"), F.array().cast("array<string>").alias("data"), F.collect_list(F.from_json("props", "struct<k: int>")).alias("items"))).alias("response"))
     one = page.select("user_id", F.explode(jsonops.records(F.col("response"))).alias("r"))
     return one.groupBy("user_id", jsonops.pick(F.col("r"), "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, 'Entry ' || doc_id AS name, title, lang, false AS bad FROM documents UNION ALL SELECT doc_id, NULL, NULL, NULL, true FROM documents WHERE n_chars IS NULL")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read again; for each without a count a broken line stands among them and is reported."""
+    docs = t(spark, d, "documents").select("doc_id", "title", "lang", "n_chars")
+    good = docs.select(F.to_json(F.struct("doc_id", "title", "lang")).alias("value"))
+    cut = docs.where("n_chars is null").select(F.concat(F.lit('{"doc_id":'), F.col("doc_id"), F.lit(',"title":"cut')).alias("value"))
+    where = scratch(spark, "json-lines")
+    good.unionByName(cut).write.text(where)
+    r = jsonfiles.read_lines(spark, where)
+    bad = F.col("error").isNotNull()
+    key = F.when(bad, F.regexp_extract("raw", r'"doc_id":(\d+)', 1)).otherwise(jsonops.pick(F.col("record"), "doc_id")).cast("long").alias("doc_id")
+    return r.select(key, F.when(~bad, jsonops.display_name(F.to_json(F.struct(F.lit(None).cast("string").alias("x"))), jsonops.pick(F.col("record"), "doc_id"))).alias("name"), jsonops.pick(F.col("record"), "title").alias("title"), jsonops.pick(F.col("record"), "lang").alias("lang"), bad.alias("bad"))
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT s_suppkey::VARCHAR, s_name, NULL FROM supplier")
+def csv_union(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers written as CSV files of two delimiters and read as one union of sources."""
+    a, b = scratch(spark, "csv"), scratch(spark, "csv")
+    t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).write.option("header", True).option("escape", '"').csv(a)
+    t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name")).write.option("header", True).option("escape", '"').option("sep", ";").csv(b)
+    both = files.union({"customers": lambda: tabular.read_csv(spark, a), "suppliers": lambda: tabular.read_csv(spark, b), "gone": lambda: tabular.read_csv(spark, a + "-gone")}, spark)
+    return both.where("error is null").select(F.col("key").alias("c_custkey"), F.col("name").alias("c_name"), F.col("segment").alias("c_mktsegment"))
+
+
 # ---- rows ------------------------------------------------------------------------------------------------------------
 
 _V = lambda c: f"nullif({strip_(c + '::VARCHAR')}, '')"

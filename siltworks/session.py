@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,10 +35,12 @@ _local: dict[str, str] = {}
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder is used.
+    Where that setting is absent a session on one machine, as in tests, uses a local folder; on a cluster this raises.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -50,8 +53,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit ``limit``; otherwise unchanged, for a shuffled join.
+    """``df`` with a broadcast hint if its measured bytes fit ``limit``; otherwise unchanged, for a shuffled join.
 
-    ``df`` should be cheap to count (a stored table or a tiny input).
+    Rows are counted at ``row_bytes`` at least; what strings, binaries, arrays, maps and structs hold is measured, not guessed.
+    ``df`` should be cheap to read (a stored table or a tiny input).
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    width = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0)) + 8
+        else:
+            width = width + 8
+    size = df.agg(F.coalesce(F.sum(F.greatest(width + 16, F.lit(row_bytes)).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df

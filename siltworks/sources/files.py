@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,23 @@ def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return df.select("path", "filename", "suffix", route(F.col("filename")).alias("route"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content", fid.alias("file_id"))
 
 
+def union(sources: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
+    """All rows of several sources with ``source`` and ``error``, columns by name, missing ones null.
+
+    A source that cannot be opened gives one row with its error; the others are read all the same.
+    """
+    out = None
+    for name, opened in sources.items():
+        try:
+            own = opened()
+            own = own.withColumn("source", F.lit(name))
+            own = own if "error" in own.columns else own.withColumn("error", F.lit(None).cast("string"))
+        except (PySparkException, ValueError, OSError) as e:
+            own = spark.range(1).select(F.lit(name).alias("source"), F.lit(f"{type(e).__name__}: {str(e)[:200]}").alias("error"))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return spark.createDataFrame([], "source string, error string") if out is None else out
+
+
 def _members(path: str, data: bytes, depth: int, chain: list[str]) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:

@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators import rows
+from siltworks.session import stored
 
 DELIMITERS = ",\t;|"
 
@@ -31,14 +33,26 @@ def sniffed(sample: str) -> str:
         return max(DELIMITERS, key=first.count) if any(d in first for d in DELIMITERS) else ","
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """All columns as strings under the header row; quoted cells may hold line ends; missing cells are null.
 
-    Without ``delimiter`` a tab for ``.tsv``, else what the first 4 KB of one file look like.
+    Without ``delimiter`` a tab for ``.tsv``, else what the first 4 KB of each file look like; files of several delimiters
+    are read by delimiter and united by column name. Files without any content have no delimiter and no rows.
     """
     if delimiter is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("head")).first()
-        delimiter = "\t" if path.lower().endswith(".tsv") else sniffed(bytes(head["head"]).decode(encoding, "ignore") if head else "")
+        head = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.substring("content", 1, 4096).alias("head"))
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                kinds = ["\t" if p.lower().endswith(".tsv") else sniffed(bytes(h).decode(encoding, "ignore")) for p, h in zip(b["path"], b["head"], strict=True)]
+                yield pd.DataFrame({"path": b["path"], "kind": kinds})
+
+        kinds = stored(head.mapInPandas(look, "path string, kind string"), "delimiters")
+        found = sorted(r.kind for r in kinds.select("kind").distinct().collect())  # at most one a delimiter
+        if len(found) > 1:
+            parts = [read_csv(spark, [r.path for r in kinds.where(F.col("kind") == k).select("path").toLocalIterator()], k, encoding) for k in found]
+            return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        delimiter = found[0] if found else ","
     return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
 
 
@@ -66,9 +80,19 @@ def _sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
         if "xl/sharedStrings.xml" in z.namelist():
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
                 shared.append("".join(x.text or "" for x in si.iter() if _local(x.tag) == "t"))
-        names = [x.get("name", "") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
+        sheets = [x for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
         parts = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
-        for name, part in zip(names, parts, strict=False):
+        target = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                t = x.get("Target", "")
+                target[x.get("Id")] = t.lstrip("/") if t.startswith("/") else "xl/" + t
+        for k, sheet in enumerate(sheets):
+            # by the relationship that the sheet names; files without any have their sheets in order
+            rel = next((v for a, v in sheet.attrib.items() if _local(a) == "id"), None)
+            name, part = sheet.get("name", ""), target.get(rel) or (parts[k] if k < len(parts) else None)
+            if part is None or part not in z.namelist():
+                raise KeyError(f"sheet {name} has no part")
             table: list[list[str]] = []
             for row in (x for x in ElementTree.fromstring(z.read(part)).iter() if _local(x.tag) == "row"):
                 cells: dict[int, str] = {}

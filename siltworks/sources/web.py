@@ -71,15 +71,27 @@ def sitemap(xml: str) -> tuple[list[str], list[str]]:
 
 
 def following(page: int, size: int, got: int, body: dict) -> int | None:
-    """The next page of a paged API, or None: it says there is none, the page is short, or the mark does not move on."""
+    """The next page (or offset) of a paged API, or None: it says there is none, the page is short, or the mark does not move on.
+
+    Numbers may come as strings. ``page`` of the response goes before the one asked for; ``total_items`` counts from an offset.
+    """
     info = body.get("pagination") if isinstance(body.get("pagination"), dict) else body
+
+    def number(key: str) -> int | None:
+        v = info.get(key)
+        return v if isinstance(v, int) and not isinstance(v, bool) else int(v) if isinstance(v, str) and v.strip().isdecimal() else None
+
     if info.get("has_next") is False:
         return None
     for key in ("next_page", "next_offset"):
-        if isinstance(info.get(key), int):
-            return info[key] if info[key] > page else None
-    if isinstance(info.get("total_pages"), int):
-        return page + 1 if page < info["total_pages"] else None
+        n = number(key)
+        if n is not None:
+            return n if n > page else None
+    if (total := number("total_pages")) is not None:
+        now = number("page") or page
+        return now + 1 if now < total else None
+    if (total := number("total_items")) is not None and (at := number("offset")) is not None:
+        return at + got if got and at + got < total else None
     return page + 1 if got and got >= size else None
 
 
@@ -87,7 +99,8 @@ class PagedApi(DataSource):
     """``spark.read.format("paged_api")``: the responses of a paged JSON API as (page, response).
 
     Options: url (with ``{page}``), size, most (pages). The pages of one API follow each other, so it is one partition;
-    several APIs are several reads. A ``file:`` URL reads stored responses.
+    several APIs are several reads. A ``file:`` URL reads stored responses. A page that cannot be fetched or is no JSON fails the
+    read, so a result that is there is whole.
     """
 
     @classmethod
@@ -109,7 +122,6 @@ class _PagedReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
-        from urllib.error import URLError
         from urllib.request import urlopen
 
         page, seen = int(self.options.get("first", 1)), set()
@@ -117,11 +129,8 @@ class _PagedReader(DataSourceReader):
             if page in seen:
                 return
             seen.add(page)
-            try:
-                with urlopen(self.options["url"].replace("{page}", str(page)), timeout=60) as r:  # noqa: S310
-                    text = r.read().decode("utf-8")
-            except (URLError, FileNotFoundError):
-                return
+            with urlopen(self.options["url"].replace("{page}", str(page)), timeout=60) as r:  # noqa: S310
+                text = r.read().decode("utf-8")
             yield page, text
             body = json.loads(text)
             body = body if isinstance(body, dict) else {"items": body}

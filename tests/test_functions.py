@@ -54,21 +54,12 @@ def test_text(spark):
     assert one(spark, text.contains_any(X, ["eye", "swallow"]), "in my EYES") is True
 
 
-@pytest.mark.parametrize(
-    ("q", "subject", "follows"),
-    [("What is a bait gun?", "a bait gun", False), ("what is it?", "it", True), ("and dosage?", None, True), ("Tell me more", None, True), ("Which pests are found in a cold store in winter", None, False), ("what are the benefits", "the benefits", False), ("list the features", None, True), ("", None, False), (None, None, False)],
-)
-def test_questions(spark, q, subject, follows):
-    assert one(spark, text.definition_subject(X), q) == subject
-    assert one(spark, text.follow_up(X), q) is follows
-
-
 def test_urls(spark):
     assert one(spark, urls.normal(X), " HTTPS://A.Example/B/?q=1#x ") == "https://a.example/B"
     assert one(spark, urls.normal(X, keep_query=True), "http://a.b/c?q=1") == "http://a.b/c?q=1"
     assert [one(spark, urls.normal(X), v) for v in (None, "ftp://a/b", "/x", "http:///x")] == [""] * 4
     assert one(spark, urls.in_scope(X, "a.b", subdomains=True, root_path="/d", by_path=True), "http://c.a.b/d/e") is True
-    assert one(spark, urls.page_like(X), "http://a.b/x.PDF") is False
+    assert one(spark, urls.page_like(X), "http://a.b/x.PDF") is False and one(spark, urls.page_like(X), "http://a.b/x.csv") is False
     assert one(spark, urls.title(X), "http://a.b/the-long_way/") == "the long way" and one(spark, urls.slug(X), "http://a.b/") == "home"
     digest = hashlib.md5(b"http://a.b/c").hexdigest()[:8]
     assert one(spark, urls.page_filename(X, F.lit("A title")), "http://a.b/c") == f"c_A_title_{digest}.html"

@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from siltworks.sources import files, tabular, web
+from siltworks.sources import files, jsonfiles, tabular, web
 
 
 def zipped(members):
@@ -68,7 +68,33 @@ def test_crawl(spark):
     assert web.crawl(spark, ["http://s.x"], web.from_table(pages), "s.x", exclude=["/a"]).where("url like '%/a'").count() == 0
 
 
+def test_json_and_html_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "name": "x"}\n\n{"id": \n[2]\n')
+    got = jsonfiles.read_lines(spark, str(tmp_path / "a.jsonl")).collect()
+    assert [(r.record, r.error) for r in got] == [('{"id": 1, "name": "x"}', None), (None, "no JSON"), ("[2]", None)]
+    (tmp_path / "b.json").write_text('{"status": "ok", "items": [{"title": "T"}, {"id": 5}, {}]}')
+    (tmp_path / "c.json").write_text("{")
+    (tmp_path / "d.json").write_text("")
+    got = {(r.path.rsplit("/", 1)[1], r.entry): (r.name, r.error) for r in jsonfiles.read_json(spark, str(tmp_path / "*.json")).collect()}
+    assert got == {("b.json", 1): ("T", None), ("b.json", 2): ("5", None), ("b.json", 3): ("Entry 3", None), ("c.json", None): (None, "no JSON")}
+    (tmp_path / "p.html").write_text('<html><title>A</title><h2>B</h2><a href="/c">d</a></html>')
+    (tmp_path / "q.html").write_text("")
+    got = {r.path.rsplit("/", 1)[1]: (r.title, len(r.headings), len(r.links)) for r in jsonfiles.read_html(spark, str(tmp_path / "*.html")).collect()}
+    assert got["p.html"] == ("A", 1, 1) and got.get("q.html", ("", 0, 0)) == ("", 0, 0)
+
+
+def test_union_keeps_failures_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n")
+    (tmp_path / "b.csv").write_text("k;w\n2;y\n")
+    u = files.union({"csv": lambda: tabular.read_csv(spark, str(tmp_path)), "gone": lambda: tabular.read_csv(spark, str(tmp_path / "no"))}, spark)
+    got = {(r.source, r.k, r.v, r.w, r.error is None) for r in u.collect()}
+    assert got == {("csv", "1", "x", None, True), ("csv", "2", None, "y", True), ("gone", None, None, None, False)}
+    assert files.union({}, spark).count() == 0
+
+
 def test_sitemap_and_paging():
+    assert web.following(1, 2, 2, {"total_pages": "3"}) == 2 and web.following(9, 2, 2, {"page": 1, "total_pages": 3}) == 2
+    assert web.following(0, 2, 2, {"offset": 2, "total_items": 5}) == 4 and web.following(0, 2, 1, {"offset": 4, "total_items": 5}) is None
     assert web.sitemap('<urlset xmlns="n"><url><loc> u1 </loc></url><url><loc>u1</loc></url></urlset>') == ([], ["u1"])
     assert web.sitemap("<sitemapindex><sitemap><loc>m</loc></sitemap></sitemapindex>") == (["m"], []) and web.sitemap("<") == ([], [])
     assert web.following(1, 20, 20, {}) == 2 and web.following(1, 20, 3, {}) is None and web.following(1, 20, 20, {"has_next": False}) is None
