@@ -58,14 +58,18 @@ def small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> D
     Rows are counted at ``row_bytes`` at least; what strings, binaries, arrays, maps and structs hold is measured, not guessed.
     ``df`` should be cheap to read (a stored table or a tiny input).
     """
-    width = F.lit(0)
+    fixed, held = 16, []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
+        flat = kind == "struct" and not any(g.dataType.typeName() in ("string", "binary", "array", "map", "struct", "variant") for g in f.dataType.fields)
+        fixed += 8 * len(f.dataType.fields) if flat else 8
         if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
-        elif kind in ("array", "map", "struct"):
-            width = width + F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0)) + 8
-        else:
-            width = width + 8
-    size = df.agg(F.coalesce(F.sum(F.greatest(width + 16, F.lit(row_bytes)).cast("long")), F.lit(0))).first()[0]
+            held.append(F.octet_length(f.name))
+        elif kind in ("array", "map", "struct") and not flat:
+            held.append(F.octet_length(F.to_json(F.col(f.name) if kind != "array" else F.struct(f.name))))
+    if held:
+        width = sum((F.coalesce(x, F.lit(0)) for x in held), F.lit(fixed))
+        size = df.agg(F.coalesce(F.sum(F.greatest(width, F.lit(row_bytes)).cast("long")), F.lit(0))).first()[0]
+    else:
+        size = df.count() * max(fixed, row_bytes)
     return F.broadcast(df) if size <= limit else df
