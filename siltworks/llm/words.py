@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +57,11 @@ def ragged(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return val[off[0] : off[-1]], off - off[0]
 
 
+def at_least(b: pa.RecordBatch, col: int, least: int) -> pa.RecordBatch:
+    """The rows of a batch whose list has ``least`` values or more; as a predicate of Spark it would have the lists made twice."""
+    return b.filter(pc.fill_null(pc.greater_equal(pc.list_value_length(b.column(col)), least), False))
+
+
 def shingles(v: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` values, flat; the last k-1 places of the array are dropped."""
     n = len(v) - k + 1
