@@ -276,6 +276,13 @@ def test_batches_beyond_rarest_chunks(spark):
     h.drop()
 
 
+def test_edited_places_do_not_outweigh_common_chunks(spark):
+    # 60 chunks that nobody else holds beside six that a fifth of the records hold: all six are looked up
+    mine = spark.createDataFrame([(1, k, 30) for k in range(66)], "id long, chunk long, bytes int")
+    holders = spark.createDataFrame([(k, 0, None, 1) for k in range(60)] + [(k, 150, 5, 151) for k in range(60, 66)], "chunk long, held long, first long, n long")
+    assert {r.chunk for r in history.looked_up(mine, holders, 736).collect()} == set(range(60, 66))
+
+
 def test_popular_blocks_beside_rare_pieces(spark):
     # the row is ten popular blocks in another order than its twin and two rare pieces that other records hold
     blocks, rare = [text(12) for _ in range(10)], [text(9), text(9)]
