@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from json import dumps as json_key
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +64,23 @@ def with_source(json: Column, url: Column) -> Column:
 def blank(s: Column) -> Column:
     """Whether a value is null, blank or an empty container."""
     return s.isNull() | F.trim(s).isin("", "[]", "{}", "null")
+
+
+def rebuilt(json: Column, paths: list[str]) -> Column:
+    """An object of the parts at dotted paths, nested as they were; missing ones are left out.
+
+    A path with ``[*]`` or an index gives its values under the path's own text. Null for what is no JSON.
+    """
+    whole = F.try_parse_json(json)
+    tree: dict = {}
+    for p in paths:
+        at, steps = tree, [p] if "[" in p else path(p)[2:].split(".")
+        for s in steps[:-1]:
+            at = at.setdefault(s, {})
+        at[steps[-1]] = pick(json, p) if "[*]" in p else F.to_json(F.try_variant_get(whole, path(p), "variant"))
+
+    def members(t: dict) -> Column:
+        own = [F.concat(F.lit(json_key(k) + ":"), F.concat(F.lit("{"), F.nullif(members(v), F.lit("")), F.lit("}")) if isinstance(v, dict) else v) for k, v in t.items()]
+        return F.concat_ws(",", *own)
+
+    return F.when(whole.isNotNull(), F.concat(F.lit("{"), members(tree), F.lit("}")))

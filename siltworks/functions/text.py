@@ -109,6 +109,19 @@ def truth(s: Column, default: bool = True) -> Column:
     return F.when(t.isin(*yes), True).when(t.isin(*no), False).otherwise(default)
 
 
+def safe_int(s: Column, default: int, least: int | None = None) -> Column:
+    """A whole number of up to nine digits; ``default`` for null and anything else, and never below ``least``."""
+    t = strip(s.cast("string"))
+    n = F.coalesce(F.when(t.rlike(r"^[+-]?[0-9]{1,9}$"), t.try_cast("int")), F.lit(default))
+    return n if least is None else F.greatest(n, F.lit(least))
+
+
+def safe_float(s: Column, default: float) -> Column:
+    """A decimal number; ``default`` for null and anything else."""
+    t = strip(s.cast("string"))
+    return F.coalesce(F.when(t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), t.try_cast("double")), F.lit(float(default)))
+
+
 def running_head(s: Column) -> Column:
     """A page edge line without numbers, dates and the words that come with them, to tell running heads."""
     t = F.regexp_replace(s, r"\b\d+\b", "")

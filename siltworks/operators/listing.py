@@ -29,6 +29,12 @@ def newest_first(files: DataFrame, *times: str, key: str = "file_key") -> DataFr
     return files.orderBy(F.coalesce(*(F.nullif(F.col(t).cast("string"), F.lit("")) for t in times), F.lit("")).desc(), key)
 
 
+def in_order(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(``key``, first): the distinct values of ``key`` that are not blank with the ``order`` at which each first stands."""
+    rows = df.select(optional(F.col(key).cast("string")).alias(key), F.col(order).alias("first")).where(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(F.min("first").alias("first"))
+
+
 def registry_state(registry: DataFrame, key: str = "file_id", time: str = "updated_at", tie: str = "registry_id") -> DataFrame:
     """The last state of each registered file; rows without a key are left out."""
     return latest(registry.where(F.col(key).isNotNull()), key, time, tie)

@@ -20,14 +20,14 @@ def media_type(suffix: Column) -> Column:
 def filled(rows: DataFrame, by: str, order: str, text: str, is_gap: Column, fillers: DataFrame, filler: str, filler_order: str) -> DataFrame:
     """``rows`` with the n-th gap of each ``by`` replaced by its n-th filler; gaps without one are dropped.
 
-    The running count needs one sorted pass over each ``by``; the fillers meet it in an equi-join on (by, n).
+    Only gaps are numbered and shuffled; the other rows, with their texts, stay where they are. Gaps of a null ``by`` are dropped.
     """
     n = F.row_number().over(Window.partitionBy(by).orderBy(filler_order))
     f = fillers.select(by, F.col(filler).alias("_f"), n.alias("_n"))
     gap = F.coalesce(is_gap, F.lit(False))
-    own = rows.withColumn("_gap", gap).withColumn("_n", F.when(gap, F.sum(gap.cast("int")).over(Window.partitionBy(by).orderBy(order))).cast("int"))
-    out = own.join(f, [by, "_n"], "left").where(~F.col("_gap") | F.col("_f").isNotNull())
-    return out.withColumn(text, F.when(F.col("_gap"), F.col("_f")).otherwise(F.col(text))).drop("_gap", "_n", "_f")
+    own = rows.where(gap).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    met = own.join(f.where("_f is not null"), [by, "_n"]).withColumn(text, F.col("_f"))
+    return rows.where(~gap).unionByName(met.select(*rows.columns))
 
 
 def in_zone(y: Column, header_below: Column, footer_above: Column) -> Column:

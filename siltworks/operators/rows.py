@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import strip
+from siltworks.functions import ids
+from siltworks.functions.text import strip, word_tokens
 
 # What stands for no value in a sheet.
 NOTHING = ("", "nan", "none", "nat", "<na>", "n/a", "null", "na")
@@ -36,3 +37,9 @@ def as_text(columns: list[str], number: Column, sheet: str | None = None) -> Col
 def numbered(df: DataFrame, order: str, by: str) -> DataFrame:
     """1-based ``row_number`` within ``by`` in the given order."""
     return df.withColumn("row_number", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+
+
+def from_table(df: DataFrame, columns: list[str], key: str, source: str) -> DataFrame:
+    """(row_id, text, tokens) of the rows of any table, one read over JDBC too; tokens are the words between white space."""
+    body = as_text(columns, F.col(key))
+    return df.select(ids.row_id(F.lit(source), F.lit("row"), F.col(key)).alias("row_id"), body.alias("text"), word_tokens(body).cast("int").alias("tokens"))

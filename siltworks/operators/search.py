@@ -44,6 +44,16 @@ def required(tree: dict | None, *conditions: dict) -> dict:
     return {**(tree or {}), "must": [c for c in old if c["key"] not in keys] + list(conditions)}
 
 
+def of_model(tree: dict | None, model: str) -> dict:
+    """A filter tree that lets only points embedded by ``model`` through."""
+    return required(tree, {"key": "embedding_details.embedding_model_name", "match": {"value": model}})
+
+
+def best_texts(hits: DataFrame, by: str, text: str = "text", rank: str = "rank", most: int = 3) -> DataFrame:
+    """The hits of the first ``most`` ranks that have a text: blank ones are dropped after the cut, so fewer may be left."""
+    return hits.where(F.col(rank) <= most).where(strip(F.coalesce(F.col(text), F.lit(""))) != "").select(by, rank, text)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; null if a length differs or a norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

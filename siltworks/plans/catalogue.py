@@ -662,6 +662,83 @@ def header_maps(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_key", F.try_element_at("m", F.lit("lang")).alias("lang"), F.size("m").alias("n"))
 
 
+# ---- numbers, files, tables --------------------------------------------------------------------------------------------
+
+_PAGE = strip_("metadata['page_number']")
+
+
+@query(
+    f"SELECT chunk_key, greatest(CASE WHEN regexp_matches({_PAGE}, '^[+-]?[0-9]{{1,9}}$') THEN {_PAGE}::INT ELSE 1 END, 1)::INT AS page,"
+    f" CASE WHEN regexp_matches({_PAGE}, '^[+-]?[0-9]+(\\.[0-9]+)?$') THEN {_PAGE}::DOUBLE ELSE 0.5 END AS value FROM chunk_results"
+)
+def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
+    p = F.try_element_at("metadata", F.lit("page_number"))
+    return t(spark, d, "chunk_results").select("chunk_key", text.safe_int(p, 1, 1).alias("page"), text.safe_float(p, 0.5).alias("value"))
+
+
+@query(f"SELECT {strip_('source_mapping_id')} AS source_mapping_id, min(listing_id) AS first FROM uploaded_files WHERE {strip_('source_mapping_id')} <> '' GROUP BY ALL")
+def source_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct sources in the order in which they were first listed."""
+    return listing.in_order(t(spark, d, "uploaded_files"), "source_mapping_id", "listing_id").orderBy("first")
+
+
+@query(f"SELECT p.vec_id, p.label, round({_COS}, 6) AS score FROM embeddings p, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE {_COS} >= 0.0 AND p.label = 1 ORDER BY {_COS} DESC, p.vec_id LIMIT 10")
+def vector_topk_model(spark: SparkSession, d: str) -> DataFrame:
+    """The best points among those of one embedding model."""
+    e = t(spark, d, "embeddings").withColumn("embedding_details", F.struct(F.concat(F.lit("model-"), F.col("label")).alias("embedding_model_name")))
+    hit = search.top_k(e, _vector(spark, d, 2), k=10, threshold=0.0, where=search.of_model(None, "model-1"))
+    return hit.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, rank::INT AS rank, text FROM ({_BATCH}) b JOIN chunk_results ON chunk_key = b.vec_id WHERE rank <= 3 AND {strip_('text')} <> ''")
+def top_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the three best points of each query, blank ones dropped after the cut."""
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = stored(search.top_k_batch(e, q, k=5, threshold=0.2), "hits")
+    return search.best_texts(t(spark, d, "chunk_results").select(F.col("chunk_key").alias("vec_id"), "text").join(small(hits, 40), "vec_id"), "query_id")
+
+
+@query("SELECT file_type, count(*)::BIGINT AS entries, count(*) FILTER (WHERE n_chars IS NULL)::BIGINT AS errors, round(count(n_chars) * 100 / count(*), 1)::DOUBLE AS rate FROM documents GROUP BY file_type")
+def json_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and faults by file type of documents as JSON, broken where there is no count."""
+    whole = F.to_json(F.struct("doc_id", "text"))
+    raw = t(spark, d, "documents").select(F.col("file_type").alias("path"), F.when(F.col("n_chars").isNull(), F.substring(whole, 1, 9)).otherwise(whole).alias("raw"))
+    return jsonfiles.stats(jsonfiles.checked(raw)).withColumnRenamed("path", "file_type")
+
+
+@query("""
+SELECT doc_id, '{' || concat_ws(',', CASE WHEN lang IS NOT NULL OR source IS NOT NULL THEN '"of":{' || concat_ws(',', '"lang":' || to_json(lang)::VARCHAR, '"source":' || to_json(source)::VARCHAR) || '}' END,
+  '"title":' || to_json(title)::VARCHAR, '"parts[*].n":[' || doc_id || ',2]') || '}' AS own FROM documents
+""")
+def json_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as nested JSON, cut to some of their fields."""
+    n = lambda c: F.struct(c.alias("n"), F.lit("x").alias("m"))
+    whole = F.to_json(F.struct("doc_id", "title", F.struct("lang", "source", "file_type").alias("of"), F.array(n(F.col("doc_id")), n(F.lit(2).cast("long"))).alias("parts")))
+    return t(spark, d, "documents").select("doc_id", jsonops.rebuilt(whole, ["of.lang", "of.source", "title", "none.there", "parts[*].n"]).alias("own"))
+
+
+@query(f"SELECT listing_id, CASE WHEN coalesce(trim(filename), '') = '' THEN 'no name' WHEN x NOT IN ('.csv','.tsv','.xlsx','.xls','.xlsm','.html','.htm','.json') THEN 'unsupported: ' || x WHEN coalesce(total_chunks, 0) <= 0 THEN 'empty' END AS fault FROM (SELECT listing_id, filename, total_chunks, coalesce({_EXT}, '') AS x FROM uploaded_files)")
+def file_faults(spark: SparkSession, d: str) -> DataFrame:
+    known = (*files.ROWS, ".html", ".htm", ".json")
+    return t(spark, d, "uploaded_files").select("listing_id", files.fault(F.col("filename"), F.col("total_chunks"), known).alias("fault"))
+
+
+@query("SELECT l_orderkey, (1 + count(*))::INT AS elements, (1 + count(*))::INT AS attributes FROM lineitem GROUP BY l_orderkey")
+def xml_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Elements and attributes of orders as XML; an order has at most a handful of lines."""
+    line = F.concat(F.lit('<line n="'), F.col("l_linenumber"), F.lit('"/>'))
+    xml = F.concat(F.lit('<order key="'), F.col("l_orderkey"), F.lit('">'), F.array_join("lines", ""), F.lit("</order>"))
+    o = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    return o.select("l_orderkey", tabular.xml_counts(xml).alias("c")).select("l_orderkey", "c.*")
+
+
+@query(f"SELECT {uuid5_(chr(39) + 'supplier::row::' + chr(39) + ' || s_suppkey', ids.DNS)} AS row_id, b AS text, len(string_split({squeeze_('b')}, ' '))::INT AS tokens FROM (SELECT s_suppkey, 'Row ' || s_suppkey || ': ' || concat_ws(' | ', 's_suppkey: ' || {_V('s_suppkey')}, 's_name: ' || {_V('s_name')}) AS b FROM supplier)")
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a database table as texts."""
+    return rows.from_table(t(spark, d, "supplier"), ["s_suppkey", "s_name"], "s_suppkey", "supplier")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

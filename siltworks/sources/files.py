@@ -39,6 +39,12 @@ def junk(name: Column) -> Column:
     return F.coalesce(name.rlike(r"(^|/)(__MACOSX|\.[^./])"), F.lit(False))
 
 
+def fault(name: Column, size: Column, suffixes: tuple[str, ...]) -> Column:
+    """Why a file cannot be read: no name, another suffix or no content; null if it can."""
+    x = suffix(name)
+    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "no name").when(~x.isin(*suffixes), F.concat(F.lit("unsupported: "), x)).when(F.coalesce(size, F.lit(0)) <= 0, "empty")
+
+
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, filename, suffix, route, size, modified, content, file_id) of the files below a path with a known suffix.
 

@@ -13,7 +13,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files are split like any text file, so one large file is read by many tasks.
     """
-    raw = spark.read.text(path).where(F.col("value").rlike(r"(?U)\S")).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return checked(spark.read.text(path).where(F.col("value").rlike(r"(?U)\S")).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+
+
+def checked(raw: DataFrame) -> DataFrame:
+    """(path, raw, record, error) of (path, raw): what is no JSON, null too, has an error and no record."""
     good = F.try_parse_json("raw").isNotNull()
     return raw.select("path", "raw", F.when(good, F.col("raw")).alias("record"), F.when(~good, "no JSON").alias("error"))
 
@@ -36,3 +40,9 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
     html = F.col("html")
     return raw.select("path", markup.title(html).alias("title"), markup.headings(html).alias("headings"), markup.links(html).alias("links"), markup.to_markdown(html).alias("markdown"))
+
+
+def stats(entries: DataFrame, by: str = "path") -> DataFrame:
+    """(``by``, entries, errors, rate): the entries of each file, those that could not be read, and the share in percent that could."""
+    one = entries.groupBy(by).agg(F.count("*").alias("entries"), F.count("error").alias("errors"))
+    return one.withColumn("rate", F.round((F.col("entries") - F.col("errors")) * 100 / F.col("entries"), 1))

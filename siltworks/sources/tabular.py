@@ -15,7 +15,7 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators import rows
@@ -209,3 +209,9 @@ def read_texts(files: DataFrame, readers: dict | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "text", "error"])
 
     return files.select("path", "suffix", "content").mapInPandas(over, "path string, text string, error string")
+
+
+def xml_counts(xml: Column) -> Column:
+    """(elements, attributes) of an XML text; null for null."""
+    n = lambda p: F.xpath_number(xml, F.lit(p)).cast("int")
+    return F.when(xml.isNotNull(), F.struct(n("count(//*)").alias("elements"), n("count(//@*)").alias("attributes")))

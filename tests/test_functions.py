@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks.functions import ids, jsonops, markup, text, urls
+from siltworks.operators import listing, search
+from siltworks.sources import files, tabular
 
 
 def one(spark, expr, value, kind="string"):
@@ -88,3 +90,30 @@ def test_json(spark):
     assert one(spark, jsonops.project(X, ["a", "c"]), '{"a":1,"b":2}') == {"a": "1"}
     with pytest.raises(ValueError):
         jsonops.path("a..b")
+
+
+def test_numbers_with_defaults(spark):
+    df = spark.createDataFrame([(None,), ("",), (" 7 ",), ("-3",), ("3.5",), ("x",), ("12345678901",)], "s string")
+    got = [tuple(r) for r in df.select(text.safe_int(F.col("s"), 2, 1), text.safe_float(F.col("s"), 0.5)).collect()]
+    assert got == [(2, 0.5), (2, 0.5), (7, 7.0), (1, -3.0), (2, 3.5), (2, 0.5), (2, 12345678901.0)]
+
+
+def test_rebuilt_keeps_nesting_and_leaves_out_what_is_missing(spark):
+    df = spark.createDataFrame([('{"a":{"b":1,"c":"x"},"l":[{"n":1},{"n":2}]}',), ("{}",), ("no",), (None,), ('{"a":5}',)], "s string")
+    got = [r[0] for r in df.select(jsonops.rebuilt(F.col("s"), ["a.b", "a.d", "l[*].n"])).collect()]
+    assert got == ['{"a":{"b":1},"l[*].n":[1,2]}', "{}", None, None, "{}"]
+
+
+def test_faults_of_files_and_counts_of_xml(spark):
+    df = spark.createDataFrame([(None, 1), ("a.csv", 0), ("a.csv", None), ("a.CSV", 3), ("a.exe", 3), ("a", 3)], "n string, size long")
+    assert [r[0] for r in df.select(files.fault(F.col("n"), F.col("size"), (".csv",))).collect()] == ["no name", "empty", "empty", None, "unsupported: .exe", "unsupported: "]
+    x = spark.createDataFrame([('<a k="1"><b/><b z="2" y="3">t</b></a>',), (None,)], "x string")
+    assert [r[0] and tuple(r[0]) for r in x.select(tabular.xml_counts(F.col("x"))).collect()] == [(3, 3), None]
+
+
+def test_first_places_and_texts_after_the_cut(spark):
+    df = spark.createDataFrame([("b", 3), ("a", 2), ("b", 1), (None, 0), (" ", 0)], "k string, i long")
+    assert sorted(map(tuple, listing.in_order(df, "k", "i").collect())) == [("a", 2), ("b", 1)]
+    assert listing.in_order(df.limit(0), "k", "i").count() == 0
+    hits = spark.createDataFrame([(1, 1, "x"), (1, 2, " "), (1, 3, None), (1, 4, "y")], "q long, rank int, text string")
+    assert [tuple(r) for r in search.best_texts(hits, "q").collect()] == [(1, 1, "x")]
