@@ -147,6 +147,27 @@ def test_hot_samples_lose_no_pair(spark, monkeypatch):
     assert found() == whole and len(whole) > 1000
 
 
+def test_what_meets_is_sifted_in_the_join(spark, monkeypatch):
+    import os
+
+    base = text(60)
+    texts = [base + " " + text(50) for _ in range(60)] + [edited(base, 0.05) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    made, keep = {}, ordermin.stored
+    met = lambda d, label: made.setdefault(label, []).append(keep(d, label)) or made[label][-1]
+    monkeypatch.setattr(ordermin, "stored", met)
+    monkeypatch.setattr(ordermin, "small", lambda d, *_: d)
+    monkeypatch.setattr(ordermin, "dropped", lambda *_: None)
+    pairs, members = ordermin.near_pairs(df, "k", "text")
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and alike(a, b)}
+    assert {tuple(r) for r in ordermin.all_pairs(pairs, members).collect()} == want and want
+    # 60 texts share half of their words: none of their pairs leaves the join
+    assert all(t.where("a < 60 and b < 60").isEmpty() for t in made["near-met"])
+    monkeypatch.undo()
+    left = ordermin.near_pairs(df, "k", "text")
+    assert all(os.path.isdir(t._stored_at.removeprefix("file://")) for t in left)
+
+
 def test_one_very_long_text():
     import numpy as np
 
