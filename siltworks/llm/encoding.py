@@ -11,12 +11,12 @@ bytes one to as many characters. The paths of a unit are a pattern; of the corpu
 frequent one is taken if it holds the share ``sure`` of them all.
 
 The corpus frequencies are counted over all documents; the readings of a document look theirs up in a join, and so do
-the patterns, by up to four letters that they know at either end. Neither the vocabulary nor any fingerprint goes through
+the patterns, by up to four letters that they know at either end or else by a letter within. Neither the vocabulary nor any fingerprint goes through
 the driver.
 
 Null and empty texts, and texts that need no repair, are not among the results. A text with lost characters is reported
-with ``lost`` true; ``restored`` then holds the best reading, with U+FFFD where no reading is known (patterns of which
-not two letters at one end are known too).
+with ``lost`` true; ``restored`` then holds the best reading, with U+FFFD where no reading is known: no word or none that
+is sure enough fits, or not one letter of the word is left.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def lattice(part: str, read: str) -> list[tuple[str, bool]] | None:
 
 @cache
 def patterns(part: str) -> list[tuple[str, str]]:
-    """(key, pattern) of the words that a part with lost bytes may have been, by channel; key: known letters at one end.
+    """(key, pattern) of the words that a part with lost bytes may have been, by channel; key: known letters at one end, or one within.
 
     Read as UTF-8 each mark is a byte of a one-byte encoding, so one letter; read as ASCII the marks are the bytes of UTF-8
     themselves; else the other characters are bytes too.
@@ -176,10 +176,11 @@ def patterns(part: str) -> list[tuple[str, str]]:
         ahead = next((i for i, x in enumerate(path) if not x[1]), len(path))
         behind = next((i for i, x in enumerate(reversed(path)) if not x[1]), len(path))
         known = [c for c, _ in path]
-        if max(ahead, behind) < 2:
+        within = next((c for c, sure in path if sure), None)
+        if within is None:
             continue
         n = min(4, max(ahead, behind))
-        key = "^" + "".join(known[:n]) if ahead >= behind else "$" + "".join(known[-n:])
+        key = "~" + within if not n else "^" + "".join(known[:n]) if ahead >= behind else "$" + "".join(known[-n:])
         out.add((key, "^" + "".join(re.escape(c) if sure else c for c, sure in path) + "$"))
     return sorted(out)
 
@@ -262,9 +263,10 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", sure: float
     asks = stored(src.mapInPandas(ask, f"id long, asks array<string>, gaps {lost_type}"), "piece-asks")
     plain = asks.select("id", F.explode("asks").alias("piece")).join(small(freq, 96), "piece").select("id", "piece", "n", F.lit(None).cast("string").alias("best"))
 
-    # the corpus words by what may be known of them at either end
-    whole = freq.where(~F.col("piece").contains(LOST) & (F.length("piece") > 2))
-    ends = F.array(*(F.concat(F.lit("^"), F.left("piece", F.lit(k))) for k in (2, 3, 4)), *(F.concat(F.lit("$"), F.right("piece", F.lit(k))) for k in (2, 3, 4)))
+    # the corpus words by what may be known of them at either end or within
+    whole = freq.where(~F.col("piece").contains(LOST) & (F.length("piece") > 1))
+    ends = F.array(*(F.concat(F.lit("^"), F.left("piece", F.lit(k))) for k in (1, 2, 3, 4)), *(F.concat(F.lit("$"), F.right("piece", F.lit(k))) for k in (1, 2, 3, 4)))
+    ends = F.concat(ends, F.transform(F.split("piece", ""), lambda c: F.concat(F.lit("~"), c)))
     want = stored(asks.select("id", F.explode("gaps").alias("g")).select("id", "g.*"), "piece-gaps")
     keys = small(stored(want.select("key").distinct(), "gap-keys"), 40)
     vocabulary = whole.select("piece", "n", F.explode(F.array_distinct(ends)).alias("key")).join(keys, "key", "left_semi")

@@ -537,6 +537,14 @@ def test_lost_bytes(spark):
     assert got == {k: (b, True) for k, (_, b) in damaged.items()}
 
 
+def test_lost_bytes_of_words_with_one_known_letter(spark):
+    docs = [(i, "Le dû est là, ïbë.") for i in range(40)]
+    damaged = {900: ("d� pour", "dû pour"), 901: ("�à", "�à"), 902: ("l�", "là"), 903: ("�b�", "ïbë"), 904: ("a � b", "a � b")}
+    df = spark.createDataFrame(docs + [(k, a) for k, (a, _) in damaged.items()], "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in encoding.repair(df).collect()}
+    assert got == {k: b for k, (_, b) in damaged.items()}
+
+
 # ---- all ---------------------------------------------------------------------------------------------------------------
 
 
