@@ -304,6 +304,14 @@ def test_edited_places_do_not_outweigh_common_chunks(spark):
     assert {r.chunk for r in history.looked_up(mine, holders, 736).collect()} == set(range(60, 66))
 
 
+def test_chunk_lists_go_once_the_postings_are_written(spark):
+    rows = spark.createDataFrame(list(enumerate(corpus(10))), "k long, text string")
+    h = history.History(spark)
+    h.begin(rows, "k")
+    assert "chunks" not in h.records().columns and h.postings().count() > h.records().count() > 0
+    h.drop()
+
+
 def test_popular_blocks_beside_rare_pieces(spark):
     # the row is ten popular blocks in another order than its twin and two rare pieces that other records hold
     blocks, rare = [text(12) for _ in range(10)], [text(9), text(9)]
