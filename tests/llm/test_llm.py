@@ -168,6 +168,29 @@ def test_what_meets_is_sifted_in_the_join(spark, monkeypatch):
     assert all(os.path.isdir(t._stored_at.removeprefix("file://")) for t in left)
 
 
+def test_samples_of_one_row_never_meet_a_sketch(spark, monkeypatch):
+    rng = random.Random(5)
+    own = [rng.choices(VOCAB, k=60) for _ in range(40)]
+    texts = [" ".join(w) for w in own] + [" ".join([*w[:30], "other", *w[31:]]) for w in own[:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    seen, plans, meet = [], [], ordermin._met
+    monkeypatch.setattr(ordermin, "small", lambda d, *_: d)
+
+    def met(rows):
+        seen.extend(r.id for r in rows.select("id").distinct().collect())
+        out = meet(rows.hint("merge"))
+        out.collect()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ordermin, "_met", met)
+    pairs, members = ordermin.near_pairs(df, "k", "text")
+    assert {tuple(r) for r in ordermin.all_pairs(pairs, members).collect()} == {(i, i + 40) for i in range(5)}
+    # texts without a like are dropped before sketches are joined to them, and the rows that meet are shuffled once for both sides
+    assert set(seen) == {*range(5), *range(40, 45)}
+    assert plans and all("ReusedExchange" in p for p in plans)
+
+
 def test_one_very_long_text():
     import numpy as np
 
