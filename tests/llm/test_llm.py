@@ -191,6 +191,15 @@ def test_samples_of_one_row_never_meet_a_sketch(spark, monkeypatch):
     assert plans and all("ReusedExchange" in p for p in plans)
 
 
+def test_shared_words_are_counted_with_repetition():
+    import numpy as np
+
+    rng = random.Random(5)
+    a, b = ([rng.choices(range(30), k=rng.randint(0, 60)) for _ in range(5000)] for _ in range(2))
+    flat = lambda ts: (ordermin.W.mix(np.array([x for t in ts for x in t], np.uint64)), np.concatenate([[0], np.cumsum([len(t) for t in ts])]))
+    assert ordermin.shared_words(*flat(a), *flat(b)).tolist() == [sum((Counter(x) & Counter(y)).values()) for x, y in zip(a, b, strict=True)]
+
+
 def test_one_very_long_text():
     import numpy as np
 
